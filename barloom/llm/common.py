@@ -57,6 +57,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def columns_of(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
-    for batch in batches:
-        yield tuple(batch.column(n).to_pylist() for n in names)
+def text_runs(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of consecutive texts with `most` characters in all, or of one longer text; null is empty."""
+    at, run, size = 0, [], 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        if run and size + len(text) > most:
+            yield at, run
+            at, run, size = i, [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield at, run

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barloom.llm import decontaminate, hilbert_shards, language_id, license_scan, packing, quality_model, token_files, toxicity
 from barloom.llm import quality_rules as rules
-from barloom.llm.common import documents
+from barloom.llm.common import documents, held_out
 from barloom.llm.minhash_dedup import near_duplicates
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,5 +68,88 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM every
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_quality_rules": op2_quality_rules}
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL}
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = held_out(F.col("doc_id"), 5, 0)
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels, out))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text", "n_chars"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = held_out(F.col("doc_id"), 5, 0)
+    scored = quality_model.score_quality(docs, quality_model.fit(docs, labels, out))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
+TOKENS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TEMPLATES = ", ".join("({!r}, {!r})".format(label, text) for label, text in license_scan.TEMPLATES)
+_PHRASES = ", ".join("({!r}, {!r}, {})".format(p, label, len(p.split())) for p, label in license_scan.PHRASES.items())
+OP5_SQL = rf"""
+WITH words AS (SELECT doc_id, {LOWERED} AS t, regexp_extract_all({LOWERED}, '{TOKENS}') AS w FROM documents),
+phrases(phrase, label, k) AS (VALUES {_PHRASES}),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+base AS (SELECT doc_id, label, i - 1 AS at FROM places JOIN phrases ON array_to_string(w[i:i + k - 1], ' ') = phrase),
+by_doc AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list_distinct(list(label)) AS own FROM base GROUP BY doc_id),
+templates AS (SELECT label, list_distinct(regexp_extract_all(lower(t), '{TOKENS}')) AS tw FROM (VALUES {_TEMPLATES}) v(label, t)),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{TOKENS}')) AS lw FROM words),
+met AS (
+  SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw) AS held FROM lines, templates
+  WHERE 100 * len(list_intersect(lw, tw)) >= {license_scan.PERCENT} * len(tw)),
+met_doc AS (SELECT doc_id, list_distinct(list(label)) AS more, max(held) AS held FROM met GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels,
+  coalesce(held, CASE WHEN n_base > 0 THEN {license_scan.BASE_SCORE} ELSE 0 END)::DOUBLE AS score
+FROM words LEFT JOIN by_doc USING (doc_id) LEFT JOIN met_doc USING (doc_id)
+"""
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP6_SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{TOKENS}') AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({LOWERED}, '{TOKENS}') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.i, p.n, q.item_id FROM places p JOIN windows q ON p.n = q.n AND array_to_string(p.w[p.i:p.i + p.n - 1], ' ') = q.x),
+covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list_distinct(list(item_id))) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(len(m.ids), 0)::BIGINT AS n_items,
+  sha256(array_to_string(coalesce(m.ids, []), ',')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.hilbert_shards(documents(spark, sf_dir))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup, op2_quality_rules, op3_toxicity, op4_quality_model, op5_license_scan,
+        op6_decontamination, op7_hilbert_shards, op8_token_files, op9_best_fit_packing, op10_language_id,
+    )
+}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_license_scan": OP5_SQL, "op6_decontamination": OP6_SQL}
