@@ -14,10 +14,9 @@ from barloom.llm.common import cut, small_batches
 from barloom.llm.components import connected_components
 
 BANDS, ROWS = 32, 6  #: a pair of similarity 0.8 shares no band with a chance of 6e-5
-CHECKS, STEP = 64, 16  #: separate hashes for the posterior, compared STEP at a time
-MISS = 1e-7  #: a candidate is pruned when its posterior chance of being similar enough falls below this
-BUCKET = 64  #: buckets up to this size are joined with themselves, larger ones go block by block
-BLOCK = 512
+CHECKS, STEP = 128, 32  #: separate hashes for the posterior, a byte of each, compared STEP at a time
+MISS = 1e-6  #: a candidate is pruned when its posterior chance of being similar enough falls below this
+BLOCK = 2048  #: members of a bucket that meet in one cell; a larger bucket is laid out in cells of two blocks each
 MAX_WORDS = 300_000  #: words whose hashes a worker remembers
 _M64 = (1 << 64) - 1
 
@@ -86,7 +85,7 @@ def _sketch(width: int):
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             signs = np.array([signature(sets[i]) for i in full], np.uint32).reshape(len(full), len(_A))
-            keys, checks = band_keys(signs), signs[:, BANDS * ROWS :].astype(np.uint16)
+            keys, checks = band_keys(signs), signs[:, BANDS * ROWS :].astype(np.uint8)
             at = np.zeros(len(sets) + 1, np.int32)
             at[1:] = np.cumsum([BANDS * (len(s) > 0) for s in sets])
             prints, proofs = [None] * len(sets), [None] * len(sets)
@@ -125,7 +124,7 @@ def bayes_keep(left: np.ndarray, right: np.ndarray, limits: list[int]) -> np.nda
 
 
 def _proofs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, CHECKS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CHECKS)
 
 
 def _prune(limits: list[int]):
@@ -138,27 +137,98 @@ def _prune(limits: list[int]):
     return run
 
 
-def _blocks(limits: list[int]):
-    def run(pdf):
-        """Pairs of one block of a large bucket with another (or itself) that lie in two components."""
-        import pandas as pd
-
-        left, right = (pdf[pdf.side == s] for s in (0, 1))
-        right = left if right.empty else right
-        proofs = [np.frombuffer(b"".join(x.proof), np.uint16).reshape(-1, CHECKS) for x in (left, right)]
-        a, b = [], []
-        ids, parts = right.rep.to_numpy(), right.component.to_numpy()
-        for i, (rep, part) in enumerate(zip(left.rep, left.component, strict=True)):
-            others = np.flatnonzero((parts != part) & (ids > rep) if right is left else parts != part)
-            keep = others[bayes_keep(np.broadcast_to(proofs[0][i], (len(others), CHECKS)), proofs[1][others], limits)]
-            a += [rep] * len(keep)
-            b += ids[keep].tolist()
-        out = pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-        return pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)}).astype("int64")
+class Cell:
+    """Rows of one block of a bucket, or of two: which pairs of two components may be similar enough.
+
+    A pair is taken up in the first band it shares alone, so that it is compared once whatever the number of its bands.
+    """
+
+    def __init__(self, rows: list[tuple], limits: list[int]):
+        self.rows, self.limits = rows, limits
+        self.side = np.array([r["side"] for r in rows])
+        self.part = np.array([r["component"] for r in rows])
+        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.proofs = np.frombuffer(b"".join(r["proof"] for r in rows), np.uint8).reshape(-1, CHECKS)
+
+    def pairs(self):
+        """(row, later rows it may be similar to)."""
+        one = self.rows[0]["i"] == self.rows[0]["j"]
+        for k in range(len(self.rows)):
+            after = np.arange(k + 1, len(self.rows))
+            others = after[(self.part[after] != self.part[k]) & (one | (self.side[after] != self.side[k]))]
+            same = self.bands[others] == self.bands[k]
+            others = others[same.argmax(axis=1) == self.rows[k]["band"]] if len(others) else others
+            alive = others[bayes_keep(np.broadcast_to(self.proofs[k], (len(others), CHECKS)), self.proofs[others], self.limits)]
+            if len(alive):
+                yield k, alive.tolist()
+
+
+def _cells(batches):
+    """Rows of a sorted partition, a cell at a time."""
+    at, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            cell = (row["key"], row["i"], row["j"])
+            if cell != at and rows:
+                yield rows
+                rows = []
+            at = cell
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _candidates(limits: list[int]):
+    """The rows of each cell that have a likely partner."""
+
+    def run(batches):
+        for rows in _cells(batches):
+            found = {x for k, others in Cell(rows, limits).pairs() for x in (k, *others)}
+            if found:
+                keep = [rows[k] for k in sorted(found)]
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in _CELL.names} for r in keep], _CELL)
 
     return run
 
 
+_CELL = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("band", pa.int32()), ("rep", pa.int64()), ("component", pa.int64())])
+_CELL_DDL = "key long, i int, j int, side int, band int, rep long, component long"
+
+
+def _confirm_cells(width: int, percent: int, limits: list[int]):
+    """Links of each cell, on the full sets; components that a link has joined are not compared again."""
+
+    def run(batches):
+        for rows in _cells(batches):
+            root: dict[int, int] = {}
+
+            def find(x: int, root=root) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            sets = [shingle_set(r["text"], width) for r in rows]
+            links = []
+            for k, others in Cell(rows, limits).pairs():
+                for o in others:
+                    x, y = find(rows[k]["component"]), find(rows[o]["component"])
+                    if x != y and similar(sets[k], sets[o], percent):
+                        root[max(x, y)] = min(x, y)
+                        links.append((rows[k]["rep"], rows[o]["rep"]))
+            if links:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets, neither empty."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same > 0 and 100 * same >= percent * (len(a) + len(b) - same)
+
+
 def _confirm(width: int, percent: int):
     def run(batches):
         last, own = None, None
@@ -168,11 +238,8 @@ def _confirm(width: int, percent: int):
             for i in range(len(a)):
                 if (a[i], ta[i]) != last:
                     last, own = (a[i], ta[i]), shingle_set(ta[i], width)
-                other = shingle_set(tb[i], width)
-                if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
-                    same = len(np.intersect1d(own, other, assume_unique=True))
-                    if same and 100 * same >= percent * (len(own) + len(other) - same):
-                        keep.append(i)
+                if similar(own, shingle_set(tb[i], width), percent):
+                    keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
@@ -183,8 +250,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Links are pairs whose sets of `width`-word shingles reach 100 * intersection >= percent * union, confirmed on the
     full sets. Equal sets are one node, so copies never meet as pairs. In each bucket of a band every node meets the
-    smallest node; what this leaves in several components is then compared across components, small buckets by a join
-    and larger ones block by block, so that no link between components is lost to a cap.
+    smallest node; what this leaves in several components is then compared across components inside the buckets, block
+    by block, so that no link between components is lost to a cap and no pairs leave a task but links.
 
     Null or wordless texts have no shingles and no links (n_shingles 0, kept). Rows that share a doc_id count as one
     document. A null doc_id links with nothing: component_id null, kept. Ties need no rule: the smallest id stands for
@@ -200,24 +267,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     owners = cut(sketch.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "owners")
     nodes = sketch.join(owners, (sketch["print"] == owners["print"]) & (sketch.doc_id == owners.rep)).select("rep", "bands", "proof")
     nodes = cut(nodes, "nodes")
-    members = nodes.select("rep", F.explode("bands").alias("key"))
+    members = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("top")).where("leader < top").select("key", "leader")
     proofs = nodes.select("rep", "proof")
     stars = members.join(buckets, "key").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_confirmed(_pruned(stars, proofs, limits), texts, width, percent), "links")
     parts = cut(connected_components(links), "parts")
 
-    labelled = members.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = members.join(parts, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min("rep").alias("leader")).where("low < high")
-    rest = cut(labelled.join(open_.select("key", "n", "leader"), "key").where("rep <> leader"), "rest")
-    small = rest.where(F.col("n") <= BUCKET)
-    other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
-    met = small.join(other, "key").where("rep < b and component <> other").select(F.col("rep").alias("a"), "b").distinct()
-    more = _pruned(met, proofs, limits)
-    large = rest.where(F.col("n") > BUCKET)
-    if large.take(1):
-        more = more.union(_large_buckets(large, proofs, limits)).distinct()
-    more = cut(_confirmed(more, texts, width, percent), "links")
+    rest = labelled.join(open_.select("key", "n", "leader"), "key").where("rep <> leader and n > 2")
+    n = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rest.select("key", "band", "rep", "component", F.pmod(F.xxhash64("rep"), n).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("with"))
+    cells = placed.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "band", "rep", "component")
+    likely = cut(_by_cell(cells.join(nodes, "rep")).mapInArrow(_candidates(limits), _CELL_DDL), "likely")
+    full = likely.join(nodes, "rep").join(_texts_of(likely.select(F.col("rep").alias("doc_id")), texts).withColumnRenamed("doc_id", "rep"), "rep")
+    more = cut(_by_cell(full).mapInArrow(_confirm_cells(width, percent, limits), "a long, b long"), "links")
     if more.take(1):
         parts = connected_components(links.union(more))
     least = owners.join(parts, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
@@ -232,15 +297,18 @@ def _pruned(pairs: DataFrame, proofs: DataFrame, limits: list[int]) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(_prune(limits), "a long, b long").distinct()
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts of some ids. The ids are written first, so that Spark knows their size and broadcasts them only if small."""
+    return texts.join(cut(ids.distinct(), "ids"), "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    pairs = cut(pairs, "pairs")
+    texts = _texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), texts)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(right, "b").join(left, "a").select("a", "ta", "b", "tb").mapInArrow(_confirm(width, percent), "a long, b long").distinct()
 
 
-def _large_buckets(large: DataFrame, proofs: DataFrame, limits: list[int]) -> DataFrame:
-    """Every block of a bucket meets every other; a member goes to as many groups as its bucket has blocks."""
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = large.join(proofs, "rep").select("key", "rep", "component", "proof", F.pmod(F.xxhash64("rep"), n).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("with"))
-    grouped = placed.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "rep", "component", "proof")
-    return grouped.groupBy("key", "i", "j").applyInPandas(_blocks(limits), "a long, b long").distinct()
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
