@@ -94,8 +94,8 @@ OP5_SQL = rf"""
 WITH words AS (SELECT doc_id, {LOWERED} AS t, regexp_extract_all({LOWERED}, '{TOKENS}') AS w FROM documents),
 phrases(phrase, label, k) AS (VALUES {_PHRASES}),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-base AS (SELECT doc_id, label, i - 1 AS at FROM places JOIN phrases ON array_to_string(w[i:i + k - 1], ' ') = phrase),
-by_doc AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list_distinct(list(label)) AS own FROM base GROUP BY doc_id),
+base AS (SELECT doc_id, label, i - 1 AS spot FROM places JOIN phrases ON array_to_string(w[i:i + k - 1], ' ') = phrase),
+by_doc AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_distinct(list(label)) AS own FROM base GROUP BY doc_id),
 templates AS (SELECT label, list_distinct(regexp_extract_all(lower(t), '{TOKENS}')) AS tw FROM (VALUES {_TEMPLATES}) v(label, t)),
 lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{TOKENS}')) AS lw FROM words),
 met AS (
@@ -121,7 +121,7 @@ sized AS (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS n FROM ite
 windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
 places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n),
 hits AS (SELECT p.doc_id, p.i, p.n, q.item_id FROM places p JOIN windows q ON p.n = q.n AND array_to_string(p.w[p.i:p.i + p.n - 1], ' ') = q.x),
-covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id),
+covered AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM hits) GROUP BY doc_id),
 named AS (SELECT doc_id, list_sort(list_distinct(list(item_id))) AS ids FROM hits GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(len(m.ids), 0)::BIGINT AS n_items,
   sha256(array_to_string(coalesce(m.ids, []), ',')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
