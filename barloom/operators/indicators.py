@@ -180,15 +180,15 @@ VOLUME = {
     "wq11_cmf": (_CMF, ["cmf"]),
     "wq13_pvt": ([{"step": f"volume * coalesce({RETURN}, 0)"}, {"pvt": running("sum(step)")}], ["pvt"]),
     "wq15_ease_of_movement": (
-        [{"mid": "(high + low) / 2"}, {"eom": over_zero(f"(mid - {lag('mid')}) * (high - low)", "volume")}, {"eom_sma": roll("avg", "eom", 14)}], ["eom", "eom_sma"]),
+        [{"mid": "(high + low) / 2"}, {"eom": over_zero(f"(mid - {lag('mid')}) * (high - low)", "volume")}, {"eom_sma": roll("avg", "eom", 14)}], ["eom / 1000000.0 AS eom_millions", "eom_sma / 1000000.0 AS eom_sma_millions"]),
     "wq16_nvi": (
         [{"r": f"coalesce({RETURN}, 0)", "dv": f"volume - {lag('volume')}"}, {"step": "CASE WHEN dv < 0 AND r > -1 THEN ln(1 + r) ELSE 0 END"}, {"total": running("sum(step)")},
-         {"nvi": "CASE WHEN dv IS NOT NULL THEN 1000 * exp(total) END"}],
-        ["nvi"]),
+         {"log_nvi": "CASE WHEN dv IS NOT NULL THEN ln(1000) + total END"}],
+        ["log_nvi"]),
     "wq17_pvi": (
         [{"r": f"coalesce({RETURN}, 0)", "dv": f"volume - {lag('volume')}"}, {"step": "CASE WHEN dv > 0 AND r > -1 THEN ln(1 + r) ELSE 0 END"}, {"total": running("sum(step)")},
-         {"pvi": "CASE WHEN dv IS NOT NULL THEN 1000 * exp(total) END"}],
-        ["pvi"]),
+         {"log_pvi": "CASE WHEN dv IS NOT NULL THEN ln(1000) + total END"}],
+        ["log_pvi"]),
     "wq19_vwap_enhanced": ([{"tp": TYPICAL}, {"tpv": "tp * volume"}, {"vwap": over_zero(roll("sum", "tpv", 20), roll("sum", "volume", 20))}, {"vwap_distance": over_zero("close", "vwap") + " - 1"}], ["vwap", "vwap_distance"]),
     "wq20_obv_enhanced": ([*NATIVE["wn11_obv"][0], {"obv_slope": f"obv - {lag('obv', 5)}"}, {"obv_direction": "sign(obv_slope)"}], ["obv", "obv_slope", "CAST(obv_direction AS DOUBLE) AS obv_direction"]),
     "wq21_volume_breakout": (

@@ -107,8 +107,8 @@ WINDOWED = {
         [*_PIVOTS, {"actual_ts": lag("ts", 2), "actual_value": lag("close", 2)}, "where pivot_high OR pivot_low"], ["CASE WHEN pivot_high THEN 'HIGH' ELSE 'LOW' END AS kind", "actual_ts", "pos - 2 AS actual_pos", "actual_value"]),
     "wd5_bars_since_pivot": (
         [*_PIVOTS, {"mark": "CASE WHEN pivot_high THEN pos END"}, {"last_mark": running("max(mark)")}], ["pos - last_mark AS bars_since_pivot_high"]),
-    "we1_drawdown_curve": (_EQUITY, ["equity", "drawdown", "drawdown_pct"]),
-    "we4_equity_curve": (_EQUITY[:3], ["equity"]),
+    "we1_drawdown_curve": (_EQUITY, ["ln(equity) AS log_equity", "drawdown_pct"]),
+    "we4_equity_curve": (_EQUITY[:3], ["ln(equity) AS log_equity"]),
     "we5_return_features": (
         [{"ret_1": RETURN, "ret_5": f"close / nullif({lag('close', 5)}, 0) - 1", "ret_20": f"close / nullif({lag('close', 20)}, 0) - 1", "close_open": over_zero("close - open", "open"), "intraday_range": over_zero("high - low", "close")}],
         ["ret_1", "ret_5", "ret_20", "close_open", "intraday_range"]),
@@ -147,8 +147,8 @@ WINDOWED = {
         ["buy_hold", "cash", "ma_position", "momentum_position", "vol_filter_position"]),
     "g07_signal_backtest": (
         [{"f": roll("avg", "close", 20), "s": roll("avg", "close", 50)}, {"want": "CASE WHEN close > f AND f > s THEN 1 ELSE 0 END"}, {"held": f"coalesce({lag('want')}, 0)", "r": RETURN}, {"turn": f"abs(held - coalesce({lag('held')}, 0))"},
-         {"net": "held * coalesce(r, 0) - turn * 0.001"}, {"equity": f"exp({running('sum(ln(1 + net))')})"}],
-        ["held", "turn", "net", "equity"]),
+         {"net": "held * coalesce(r, 0) - turn * 0.001"}, {"growth": "CASE WHEN net > -1 THEN ln(1 + net) ELSE 0 END"}, {"log_equity": running("sum(growth)")}],
+        ["held", "turn", "net", "log_equity"]),
     "g08_position_size": (
         [{"tr": "high - low", "r": RETURN}, {"atr": roll("avg", "tr", 14), "sd": roll("stddev_samp", "r", 20)},
          {"fixed_size": "CAST(floor(10000 / nullif(close, 0)) AS BIGINT)", "risk_size": "CAST(floor(1000 / nullif(2 * atr, 0)) AS BIGINT)", "vol_size": "CAST(floor(least(10000 * 0.02 / nullif(sd, 0), 20000) / nullif(close, 0)) AS BIGINT)"}],

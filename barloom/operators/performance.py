@@ -13,11 +13,11 @@ _SCENARIOS = "(VALUES ('base', 5.0, 10.0), ('high', 15.0, 30.0)) AS c(scenario,
 _STAKES = "SELECT symbol, sector, sum(weight) AS weight, sum(notional) AS notional FROM {positions} GROUP BY symbol, sector"
 _PAIRS = "SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS c, covar_samp(a.r, b.r) AS v, count(*) AS n FROM {returns} a JOIN {returns} b ON a.ts = b.ts AND a.symbol < b.symbol AND a.sector = b.sector GROUP BY a.symbol, b.symbol"
 _RUNS = "SELECT symbol, ts, under, CASE WHEN under = lag(under) OVER (PARTITION BY symbol ORDER BY ts) THEN 0 ELSE 1 END AS fresh FROM (SELECT symbol, ts, CASE WHEN equity < peak THEN 1 ELSE 0 END AS under FROM ({0}) d) u"
-_LOSS_RUNS = "SELECT strategy, trade_id, loss, CASE WHEN loss = lag(loss) OVER (PARTITION BY strategy ORDER BY trade_id) THEN 0 ELSE 1 END AS fresh FROM (SELECT strategy, trade_id, CASE WHEN net < 0 THEN 1 ELSE 0 END AS loss FROM ({0}) n) u"
+_LOSS_RUNS = "SELECT strategy, trade_id, symbol, notional, net, loss, CASE WHEN loss = lag(loss) OVER (PARTITION BY strategy ORDER BY trade_id, symbol, notional, net) THEN 0 ELSE 1 END AS fresh FROM (SELECT strategy, trade_id, symbol, notional, net, CASE WHEN net < 0 THEN 1 ELSE 0 END AS loss FROM ({0}) n) u"
 
 TEXTS = {
     "we2_longest_underwater": f"SELECT symbol, max(n) AS longest FROM (SELECT symbol, run, count(*) AS n FROM (SELECT symbol, under, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ({_RUNS.replace('{0}', _DRAWDOWN)}) f) g WHERE under = 1 GROUP BY symbol, run) h GROUP BY symbol",
-    "we3_loss_streaks": f"SELECT strategy, max(n) AS worst, round(avg(n), 6) AS mean_streak FROM (SELECT strategy, run, count(*) AS n FROM (SELECT strategy, loss, sum(fresh) OVER (PARTITION BY strategy ORDER BY trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ({_LOSS_RUNS.replace('{0}', _NET)}) f) g WHERE loss = 1 GROUP BY strategy, run) h GROUP BY strategy",
+    "we3_loss_streaks": f"SELECT strategy, max(n) AS worst, round(avg(n), 6) AS mean_streak FROM (SELECT strategy, run, count(*) AS n FROM (SELECT strategy, loss, sum(fresh) OVER (PARTITION BY strategy ORDER BY trade_id, symbol, notional, net ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ({_LOSS_RUNS.replace('{0}', _NET)}) f) g WHERE loss = 1 GROUP BY strategy, run) h GROUP BY strategy",
     "b01_return_metrics": "SELECT symbol, n, round(exp(lg) - 1, 4) AS total_return, round(sd * sqrt(252), 6) AS volatility, round(mean_r / nullif(sd, 0) * sqrt(252), 6) AS sharpe, round(mean_r / nullif(down, 0) * sqrt(252), 6) AS sortino FROM (SELECT symbol, count(*) AS n, sum(CASE WHEN r > -1 THEN ln(1 + r) ELSE 0 END) AS lg, avg(r) AS mean_r, stddev_samp(r) AS sd, CASE WHEN count_if(r < 0) >= 2 THEN sqrt(avg(CASE WHEN r < 0 THEN r * r END)) END AS down FROM {returns} GROUP BY symbol) q",
     "b02_var_cvar": "SELECT q.symbol, round(q.v, 6) AS var_95, round(avg(CASE WHEN x.r <= q.v THEN x.r END), 6) AS cvar_95 FROM (SELECT symbol, exact_percentile(r, 0.05) AS v FROM {returns} GROUP BY symbol HAVING count(*) >= 5) q JOIN {returns} x ON x.symbol = q.symbol GROUP BY q.symbol, q.v",
     "b03_trade_metrics": f"SELECT strategy, count(*) AS n, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(net), 6) AS mean_net, round(max(net), 6) AS best, round(min(net), 6) AS worst, round(sum(CASE WHEN net > 0 THEN net ELSE 0 END) / nullif(-sum(CASE WHEN net < 0 THEN net ELSE 0 END), 0), 6) AS profit_factor, round(avg(bars_held), 6) AS holding FROM ({_NET}) q GROUP BY strategy",

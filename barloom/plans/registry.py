@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from barloom.operators import calibration, crosssection, performance
+from barloom.operators import calibration, crosssection, performance, tabular
 from barloom.operators.indicators import INDICATORS
+from barloom.operators.retrieval import QUERIES as JOBS
 from barloom.operators.patterns import PATTERNS, WINDOWED
 from barloom.operators.smoothed import SMOOTHED
 from barloom.plans.layers import Plan
 from barloom.sources.bars import BARS
+from barloom.streaming import queries as streaming
 
 #: Decimals that floating columns are compared at; sums of large amounts keep fewer.
 DIGITS, LARGE_DIGITS = 4, 1
-LARGE = {"adl", "pvt", "force_index", "force_index_ema", "chaikin_osc", "kvo", "kvo_signal", "kvo_hist", "turnover_try", "turnover_try_sma", "liquidity_turnover_sma", "avg_turnover", "max_notional"}
+LARGE = {"adl", "pvt", "force_index", "force_index_ema", "chaikin_osc", "kvo", "kvo_signal", "kvo_hist", "turnover_try", "turnover_try_sma", "eom_millions", "eom_sma_millions", "liquidity_turnover_sma", "avg_turnover", "max_notional"}
 #: Columns that are not floating.
 EXACT = {
     "bars_above_sma_20", "bars_below_sma_20", "ichimoku_cloud_state", "stoch_cross_event", "vol_regime_state", "rsi_zone", "rsi_above_50", "resistance_touch_count_50", "support_touch_count_50", "pivot_high", "pivot_low",
@@ -24,7 +26,7 @@ for _name, (_layers, _out) in (INDICATORS | SMOOTHED | PATTERNS | WINDOWED).item
     _columns = [c.rsplit(" AS ", 1)[-1] for c in _out]
     _digits = {c: LARGE_DIGITS if c in LARGE else DIGITS for c in _columns if c not in EXACT}
     PLANS[_name] = Plan(BARS, tuple(_layers)).returning("symbol", "ts", *_out, **_digits)
-PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMENTS
+PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMENTS | tabular.STATEMENTS
 
-QUERIES: dict = {n: p.frame for n, p in PLANS.items()}
-ORACLES: dict = {n: p.sql() for n, p in PLANS.items()}
+QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | streaming.QUERIES
+ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o} | streaming.ORACLES
