@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, small_batches
-from barloom.llm.tokens import word_ids
+from barloom.llm.tokens import piece_ids
 
 CAPACITY = 1024
 GROUP_PIECES = 16_384  #: pieces that one task packs together, about
@@ -73,12 +73,12 @@ def _pieces(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        table = word_ids(path, keep_spaces=True)
+        table = piece_ids(path, keep_spaces=True)
         for batch in batches:
             ids, texts, rows = (batch.column(c) for c in ("doc_id", "text", "row"))
             which, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(texts.to_pylist()):
-                data = table.encode(text) + end
+            for i, ids_ in enumerate(table.encode(texts.to_pylist())):
+                data = ids_ + end
                 n = len(data) // 4
                 cuts = [0, *range(n % CAPACITY or CAPACITY, n + 1, CAPACITY)]
                 for k in range(len(cuts) - 1):

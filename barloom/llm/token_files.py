@@ -13,24 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, new_folder, small_batches
-from barloom.llm.tokens import word_ids
+from barloom.llm.tokens import piece_ids
 
 SEQUENCE = 1024  #: ids of a sequence
 BATCH_SEQUENCES = 64
-PADDING, INSIDE, LAST = 0, 1, 2  #: values of the mask; LAST marks the last id of a document
+SMALL_VOCABULARY = 1 << 16  #: ids below take two bytes
 
-SCHEMA = pa.schema([
-    ("ids", pa.list_(pa.uint32(), SEQUENCE)),
-    ("mask", pa.list_(pa.uint8(), SEQUENCE)),
-    ("docs", pa.list_(pa.int64())),  # the documents that end in the sequence, in order
-])
+
+def schema_for(vocabulary: int) -> pa.Schema:
+    """ids and mask have SEQUENCE values in every row; the mask is false on padding. docs are the documents that end in
+    the row, ends the places of their last ids."""
+    kind = pa.uint16() if vocabulary <= SMALL_VOCABULARY else pa.uint32()
+    return pa.schema([("ids", pa.list_(kind, SEQUENCE)), ("mask", pa.list_(pa.bool_(), SEQUENCE)), ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.uint16()))])
 
 
 class SequenceWriter:
     """Appends documents to one file; a batch leaves memory as soon as it is full."""
 
-    def __init__(self, sink):
-        self.writer = pa.ipc.new_file(sink, SCHEMA)
+    def __init__(self, sink, vocabulary: int):
+        self.schema = schema_for(vocabulary)
+        self.writer = pa.ipc.new_file(sink, self.schema)
         self.ids, self.ends, self.docs, self.tokens, self.documents = bytearray(), [], [], 0, 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -45,15 +47,15 @@ class SequenceWriter:
         if not sequences:
             return
         size = sequences * SEQUENCE
-        ids, mask = np.zeros(size, "<u4"), np.full(size, PADDING, np.uint8)
         own = np.frombuffer(bytes(self.ids[: 4 * size]), "<u4")
-        ids[: len(own)], mask[: len(own)] = own, INSIDE
+        ids, mask = np.zeros(size, self.schema.field("ids").type.value_type.to_pandas_dtype()), np.arange(size) < len(own)
+        ids[: len(own)] = own
         n = int(np.searchsorted(self.ends, len(own)))
         ends = np.array(self.ends[:n], np.int64)
-        mask[ends] = LAST
-        at = np.searchsorted(ends, np.arange(0, size + 1, SEQUENCE)).astype(np.int32)
-        docs = pa.ListArray.from_arrays(pa.array(at), pa.array(self.docs[:n], pa.int64()))
-        batch = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), SEQUENCE), pa.FixedSizeListArray.from_arrays(pa.array(mask), SEQUENCE), docs], schema=SCHEMA)
+        at = pa.array(np.searchsorted(ends, np.arange(0, size + 1, SEQUENCE)).astype(np.int32))
+        docs, places = pa.array(self.docs[:n], pa.int64()), pa.array((ends % SEQUENCE).astype(np.uint16))
+        fixed = [pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (ids, mask)]
+        batch = pa.RecordBatch.from_arrays([*fixed, pa.ListArray.from_arrays(at, docs), pa.ListArray.from_arrays(at, places)], schema=self.schema)
         for k in range(0, sequences, BATCH_SEQUENCES):  # all batches but the last have BATCH_SEQUENCES rows
             self.writer.write_batch(batch.slice(k, BATCH_SEQUENCES))
         del self.ids[: 4 * size], self.docs[:n]
@@ -70,42 +72,44 @@ def open_sequences(path: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(pa.memory_map(name) if isinstance(store, pafs.LocalFileSystem) else store.open_input_file(name))
 
 
-def sequence_at(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence_at(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of the i-th sequence of a file: views of its bytes, without a copy where the file is mapped."""
     batch, row = reader.get_batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
-    return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True)[row * SEQUENCE : (row + 1) * SEQUENCE] for c in (0, 1))
+    ids, mask = (batch.column(c).slice(row, 1).flatten() for c in (0, 1))
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def read_documents(path: str):
-    """(doc_id, ids) of the documents of a file in order, a batch of sequences in memory at a time."""
+    """(doc_id, ids as little-endian unsigned 32-bit bytes) of the documents of a file in order, a batch at a time."""
     reader, rest = open_sequences(path), b""
     for k in range(reader.num_record_batches):
         batch = reader.get_batch(k)
-        mask = batch.column(1).flatten().to_numpy(zero_copy_only=True)
-        ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)
+        ids = batch.column(0).flatten().to_numpy(zero_copy_only=True).astype("<u4")
+        ended = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
+        ends = ended * SEQUENCE + batch.column(3).flatten().to_numpy()
         at = 0
-        for end, doc in zip(np.flatnonzero(mask == LAST).tolist(), batch.column(2).flatten().to_pylist(), strict=True):
+        for end, doc in zip(ends.tolist(), batch.column(2).flatten().to_pylist(), strict=True):
             yield doc, rest + ids[at : end + 1].tobytes()
             at, rest = end + 1, b""
-        rest += ids[at : len(ids) - int((mask == PADDING).sum())].tobytes()
+        rest += ids[at : batch.column(1).flatten().true_count].tobytes()
 
 
 def _write(folder: str, tokenizer_path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        table, task = word_ids(tokenizer_path, keep_spaces=False), TaskContext.get()
+        table, task = piece_ids(tokenizer_path, keep_spaces=False), TaskContext.get()
         part = task.partitionId()
         store, root = pafs.FileSystem.from_uri(folder)
         name, writer = posixpath.join(root, f"part-{part:06d}.arrow"), None
         own = f"{name}.{task.taskAttemptId()}.tmp"  # a repeated attempt writes a file of its own and then takes the name
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), table.encode(batch.column("text").to_pylist()), strict=True):
                 if writer is None:
                     store.create_dir(root)
                     sink = store.open_output_stream(own)
-                    writer = SequenceWriter(sink)
-                writer.add(doc, table.encode(text) + end)
+                    writer = SequenceWriter(sink, table.library.get_vocab_size())
+                writer.add(doc, ids + end)
         if writer is not None:
             writer.close()
             sink.close()

@@ -1,59 +1,67 @@
-"""Token ids of whole texts by the tokenizers library, one distinct word at a time.
+"""Token ids of whole texts by the tokenizers library, one distinct piece at a time.
 
-Both public vocabularies split a text at white space before any merge: no token holds a space behind another character.
-So the ids of a text are the ids of its words (each with the space before it, where the vocabulary keeps spaces), and a
-worker asks the library once for each distinct word. Control characters that Python and the library class differently
-(U+001C to U+001F) send the whole text to the library instead.
+Both public vocabularies split a text before any merge: no token holds a space behind another character, or a letter
+together with a mark (but the apostrophe). So the ids of a text are the ids of its pieces: words with the space before
+them (where the vocabulary keeps spaces), cut from the marks behind them where the letters are plain Latin ones, which
+lower-case and compose alike everywhere. The library encodes each distinct piece once for a worker. Control characters
+that Python and the library class differently (U+001C to U+001F) send the whole text to the library instead.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
-import numpy as np
-
-MAX_WORDS = 300_000  #: words a worker remembers; the table starts anew beyond that
-MAX_WORD_CHARS = 200  #: longer words are not remembered
+TABLE_BYTES = 80_000_000  #: texts and ids that a worker remembers; the table starts anew beyond that
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:*#$%&|"
 _CLASSED_APART = re.compile("[\x1c-\x1f]")
-_SPACED_WORD = re.compile(r"\s*\S+|\s+")
+_SPACED = re.compile(rf"\s*+[{_LETTERS}]++(?=[\s{_MARKS}]|\Z)|[{_MARKS}]++(?=\s|\Z)|\s*\S+|\s+")
+_ONE_TOKEN_RUN = re.compile(rf" ?[{_LETTERS}]+")  # that the library does not split before its merges
+_SPACELESS = re.compile(rf"[{_LETTERS}]++(?=[\s{_MARKS}]|\Z)|[{_MARKS}]++(?=\s|\Z)|\S+")
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes."""
+class PieceIds(dict):
+    """Piece -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, keep_spaces: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.library, self.keep_spaces = Tokenizer.from_file(path), keep_spaces
+        self.library, self.pieces, self.held, self.lower = Tokenizer.from_file(path), (_SPACED if keep_spaces else _SPACELESS).findall, 0, not keep_spaces
         self.library.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(word) <= MAX_WORD_CHARS:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = ids
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        plain = [" ", *filter(re.compile(f"[{_LETTERS}]").match, map(chr, range(256)))]
+        self.signs = {ord(c): bytes_of(c)[0][0] for c in plain}
+
+    def __missing__(self, piece: str) -> bytes:
+        if _ONE_TOKEN_RUN.fullmatch(piece):
+            plain = piece.lower() if self.lower else piece
+            found = [t.id for t in self.library.model.tokenize(plain.replace(" ", self.signs[32]) if plain.isascii() else plain.translate(self.signs))]
+        else:
+            found = self.library.encode(piece, add_special_tokens=False).ids
+        self[piece] = ids = array("I", found).tobytes()
+        self.held += len(piece) + len(ids)
         return ids
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _CLASSED_APART.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _SPACED_WORD.findall(text) if self.keep_spaces else text.split()))
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; null has none."""
+        for text in texts:
+            text = text or ""
+            if self.held > TABLE_BYTES:
+                self.clear()
+                self.held = 0
+            yield b"".join(map(self.__getitem__, [text] if _CLASSED_APART.search(text) else self.pieces(text))) if text else b""
 
 
-_loaded: dict[tuple[str, bool], WordIds] = {}
+_loaded: dict[tuple[str, bool], PieceIds] = {}
 
 
-def word_ids(path: str, keep_spaces: bool) -> WordIds:
+def piece_ids(path: str, keep_spaces: bool) -> PieceIds:
     """The worker's table for a vocabulary file; keep_spaces: whether its tokens hold the space before a word."""
     if (path, keep_spaces) not in _loaded:
-        _loaded[path, keep_spaces] = WordIds(path, keep_spaces)
+        _loaded[path, keep_spaces] = PieceIds(path, keep_spaces)
     return _loaded[path, keep_spaces]
