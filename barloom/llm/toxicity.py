@@ -23,6 +23,7 @@ PREFIXES = range(4, 9)  #: lengths of word beginnings that can become entries
 MIN_DOCS = 4  #: toxic rows that hold an entry at least
 MAX_CANDIDATES = 40_000
 MAX_ENTRIES = 2_000
+PRECISION = 0.8  #: toxic share of an entry's texts, and of its contexts, at least
 CHANCE = 0.01  #: chance that any entry at all is one by accident
 SEED_WEIGHT = 3.0
 
@@ -127,25 +128,43 @@ def _terms(word: str) -> list[str]:
 def _toxic_terms(batches):
     counts: Counter = Counter()
     for batch in batches:
-        for text in (x for _, part in text_runs(batch.column("text").to_pylist()) for x in fold(part)):
+        for text in _folded(batch):
             counts.update({t for w in set(text.split()) for t in _terms(w)})
     yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
+def _folded(batch):
+    return (x for _, part in text_runs(batch.column("text").to_pylist()) for x in fold(part))
+
+
+def _doc_counts(terms: frozenset[str]):
+    """Rows (term, toxic, n): texts that hold a candidate term."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for text, toxic in zip(_folded(batch), batch.column("toxic").to_pylist(), strict=True):
+                counts.update((t, toxic) for t in {t for w in set(text.split()) for t in _terms(w)} & terms)
+        rows = sorted(counts.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["term", "toxic", "n"])
+
+    return run
+
+
 def _evidence(terms: frozenset[str]):
     """Rows (term, toxic, context) for the candidate terms: contexts are the neighbour words, so copies give one."""
 
     def run(batches):
-        seen = set()
         for batch in batches:
-            for text, toxic in zip((x for _, part in text_runs(batch.column("text").to_pylist()) for x in fold(part)), batch.column("toxic").to_pylist(), strict=True):
+            seen = set()
+            for text, toxic in zip(_folded(batch), batch.column("toxic").to_pylist(), strict=True):
                 words = ["", *text.split(), ""]
                 for i in range(1, len(words) - 1):
                     for t in _terms(words[i]):
                         if t in terms:
                             seen.add((t, toxic, hash_of(words[i - 1], words[i], words[i + 1])))
-        rows = sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["term", "toxic", "context"])
+            rows = sorted(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["term", "toxic", "context"])
 
     return run
 
@@ -163,7 +182,7 @@ def _chosen(found: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
     for term, a, b in found:
         n, p = a + b, a / (a + b)
         gain = n * (p * math.log(p / p0) + ((1 - p) * math.log((1 - p) / (1 - p0)) if b else 0)) if p > p0 else 0
-        if gain >= limit and p >= 0.8:
+        if gain >= limit and p >= PRECISION:
             scored.append((-gain, len(term), term, math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))))
     kept: dict[str, float] = {}
     covered: set[str] = set()
@@ -182,7 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Lexicon:
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     terms = rows.where("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     candidates = frozenset(r["term"] for r in terms.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect())
-    seen = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_evidence(candidates), "term string, toxic int, context long")
+    texts = rows.select("text", F.col("toxic").cast("int").alias("toxic"))
+    share = F.sum(F.col("n") * F.col("toxic")) / F.sum("n")
+    likely = texts.mapInArrow(_doc_counts(candidates), "term string, toxic int, n long").groupBy("term").agg(share.alias("share")).where(F.col("share") >= PRECISION)
+    candidates = frozenset(r["term"] for r in likely.collect())  # of MAX_CANDIDATES at most
+    seen = texts.mapInArrow(_evidence(candidates), "term string, toxic int, context long")
     by_term = seen.groupBy("term").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("a"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("context"))).alias("b")).where("a > 0")
     found = [(r["term"], r["a"], r["b"]) for r in by_term.collect()]
     entries = _chosen(sorted(found), sizes.get(1, 0), sizes.get(0, 0))
