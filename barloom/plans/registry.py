@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.operators import calibration, crosssection, performance, tabular
+from barloom.operators import calibration, crosssection, learning, performance, tabular
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.retrieval import QUERIES as JOBS
 from barloom.operators.patterns import PATTERNS, WINDOWED
@@ -28,5 +28,5 @@ for _name, (_layers, _out) in (INDICATORS | SMOOTHED | PATTERNS | WINDOWED).item
     PLANS[_name] = Plan(BARS, tuple(_layers)).returning("symbol", "ts", *_out, **_digits)
 PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMENTS | tabular.STATEMENTS
 
-QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | streaming.QUERIES
+QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | learning.QUERIES | streaming.QUERIES
 ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o} | streaming.ORACLES

@@ -17,18 +17,21 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """A stream gets a watermark, which needs stamps with a time zone; a table stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS) if events.isStreaming else events
+
+
 def event_bars(events: DataFrame, width: str = "1 day") -> DataFrame:
     """Bars of the values of each event type; works on a stream (late rows beyond LATENESS are dropped) and on a table."""
-    timed = events.withWatermark("ts", LATENESS) if events.isStreaming else events
     place = F.struct("ts", "event_id")
-    bars = timed.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.min_by("value", place).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", place).alias("close"), F.count("*").alias("n"))
+    bars = _timed(events).groupBy("event_type", F.window("ts", width).alias("w")).agg(F.min_by("value", place).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", place).alias("close"), F.count("*").alias("n"))
     return bars.select("event_type", F.col("w.start").alias("start"), "open", "high", "low", "close", "n")
 
 
 def activity_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     """Runs of a user's events without a gap as long as `gap`."""
-    timed = events.withWatermark("ts", LATENESS) if events.isStreaming else events
-    runs = timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    runs = _timed(events).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
     return runs.select("user_id", F.col("w.start").alias("start"), "n", "top")
 
 
@@ -49,7 +52,7 @@ def decide(rows: pd.DataFrame, last_at, last_value, cooldown: pd.Timedelta, chan
 def alerts(events: DataFrame, least: float = 50.0, cooldown: str = "12 hours", change: float = 30.0) -> DataFrame:
     """Alert decisions for values of at least `least`. On a stream the last alert of a user is kept as state; on a table
     one sorted pass of each user gives the same."""
-    wait, hot = pd.Timedelta(cooldown), events.where(F.col("value") >= least).select("user_id", "ts", "value", "event_id")
+    wait, hot = pd.Timedelta(cooldown), events.where(F.col("value") >= least).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
 
     def frame(key, out) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *r) for r in out], columns=["user_id", "ts", "value", "reason"])
