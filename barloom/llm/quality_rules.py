@@ -70,7 +70,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     row = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != "")).withColumn("_lines", lines)
     row = row.withColumn("_failed", F.filter("_lines", line_fails)).withColumn("_worded", F.filter("_lines", lambda x: x.rlike(WORD)))
     long = lambda c: c.cast("long")
-    row = row.withColumns({
+    found = {
         "n_words": long(F.size("_words")),
         "word_chars": long(F.length(F.array_join("_words", ""))),
         "n_symbols": long(F.regexp_count(text, F.lit(SYMBOLS))),
@@ -79,8 +79,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         "n_lines_failed": long(F.size("_failed")),
         "lost_chars": long(F.length(F.regexp_replace(F.array_join("_failed", ""), SPACE, ""))),
         "clean_text": F.when(F.size("_failed") == 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n")),
-    })
+    }
+    # One generated row: a filter on what follows then uses these values instead of computing them again.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (*found, "base_failed", "kept")]
+    row = row.select(*others, F.inline(F.array(F.struct(*(c.alias(n) for n, c in found.items())))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     row = row.withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOST_PERCENT * F.col("word_chars"))
-    return row.withColumn("kept", kept).drop("_words", "_lines", "_failed", "_worded")
+    return row.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOST_PERCENT * F.col("word_chars")))
