@@ -1,4 +1,4 @@
-"""License scans: phrase places, and an exact containment join of text blocks with license templates."""
+"""License scans: phrase places, and an exact containment join of word windows with license templates."""
 
 from __future__ import annotations
 
@@ -25,7 +25,9 @@ TEMPLATES = [
     ("spdx:MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("spdx:MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
-PERCENT = 80  #: of a template's distinct words that a block must hold
+PERCENT = 80  #: of a template's distinct words that a window must hold
+SHORT = 8  #: a template of so many distinct words or fewer must be held whole
+NAMES = {b"apache", b"attribution", b"commons", b"creative", b"mozilla", b"nc", b"mit", b"public", b"2", b"3", b"4"}  #: words that tell licenses apart: a window must hold those of its template
 BASE_SCORE = 0.5  #: of a document with a phrase and no template
 
 _LINES = [f" {p} ".encode() for p in PHRASES]
@@ -38,37 +40,51 @@ def template_sets() -> list[tuple[str, frozenset[bytes]]]:
 class Index:
     """Templates with their words in global order, rarest first, and the prefix of each by word.
 
-    A block that holds at least `need` of a template's n words misses n - need at most, so it holds one of the first
-    n - need + 1 (prefix filter); it has `need` distinct words itself (length filter); and where its first hit is word
-    k of the order, it can hold n - k words at most (positional filter).
+    A window of a template is a run of words of the text, over line ends, that is longer than the template by the share
+    it may miss. It meets the template when it holds `need` of the n distinct words, all NAMES among them. A text with
+    such a window misses n - need words at most, so it holds one of the first n - need + 1 (prefix filter) and `need`
+    of all (the text's own containment); only then are its windows read, in one pass.
     """
 
     def __init__(self, counts: dict[bytes, int], percent: int = PERCENT):
         self.templates, self.prefixes = [], {}
-        for label, words in template_sets():
+        for (label, words), (_, text) in zip(template_sets(), TEMPLATES, strict=True):
             order = sorted(words, key=lambda w: (counts.get(w, 0), w))
-            need = -(-percent * len(order) // 100)
+            need = len(order) if len(order) <= SHORT else -(-percent * len(order) // 100)
             for w in order[: len(order) - need + 1]:
                 self.prefixes.setdefault(w, []).append(len(self.templates))
-            self.templates.append((label, order, need))
+            self.templates.append((label, words, need, words & NAMES, -(-100 * len(words_of(text.encode())) // percent)))
         self.keys = frozenset(self.prefixes)
 
-    def matches(self, block: set[bytes]) -> dict[str, float]:
-        """Label -> best containment of the templates that the block meets."""
+    def matches(self, words: list[bytes]) -> dict[str, float]:
+        """Label -> best containment of the templates that a window of the text meets."""
         found: dict[str, float] = {}
-        for t in sorted({t for w in self.keys & block for t in self.prefixes[w]}):
-            label, order, need = self.templates[t]
-            if len(block) < need:
-                continue
-            first = next(k for k, w in enumerate(order) if w in block)
-            if len(order) - first < need:
-                continue
-            held = sum(w in block for w in order)
-            if held >= need:
-                found[label] = max(found.get(label, 0.0), held / len(order))
+        whole = set(words)
+        for t in sorted({t for w in self.keys & whole for t in self.prefixes[w]}):
+            label, own, need, names, width = self.templates[t]
+            if names <= whole and len(own & whole) >= need:
+                held = _best_window(words, own, names, width)
+                if held >= need:
+                    found[label] = max(found.get(label, 0.0), held / len(own))
         return found
 
 
+def _best_window(words: list[bytes], own: frozenset[bytes], names: frozenset[bytes], width: int) -> int:
+    """The most distinct words of `own` in a run of `width` words that holds all `names`."""
+    places, inside, best, first = [i for i, w in enumerate(words) if w in own], Counter(), 0, 0
+    for i in places:
+        inside[words[i]] += 1
+        while i - places[first] >= width:
+            gone = words[places[first]]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            first += 1
+        if len(inside) > best and all(w in inside for w in names):
+            best = len(inside)
+    return best
+
+
 def _count(vocabulary: frozenset[bytes]):
     def run(batches):
         counts: Counter = Counter()
@@ -96,11 +112,7 @@ def _scan(index: Index):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                base, own = _places(words), {}
-                if not index.keys.isdisjoint(words):
-                    for line in text.split(b"\n"):
-                        for label, held in index.matches(set(words_of(line))).items():
-                            own[label] = max(own.get(label, 0.0), held)
+                base, own = _places(words), {} if index.keys.isdisjoint(words) else index.matches(words)
                 places = [p for x in base.values() for p in x]
                 rows.append((doc, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted({*base, *own})), max(own.values(), default=BASE_SCORE if base else 0.0)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
@@ -114,9 +126,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row
     for each input row.
 
-    Base: all places where the words of a phrase stand consecutively. The method: blocks are lines; a template's label
-    is added when a line holds PERCENT of its distinct words; words are ordered by the number of documents that hold
-    them, counted over all rows. score is the best containment, BASE_SCORE for a phrase alone, else 0. A null text is
+    Base: all places where the words of a phrase stand consecutively. The method: blocks are windows of words sized to
+    each template, which slide over line ends; a template's label is added when a window holds PERCENT of its distinct
+    words (all of a template of SHORT words) and its NAMES; words are ordered by the number of times they stand in the
+    texts, counted over all rows. score is the best containment, BASE_SCORE for a phrase alone, else 0. A null text is
     empty: no words, null places, empty labels. Repeated rows give repeated results; ties of frequency are ordered by
     word; an empty table gives an empty result; extra columns are not read.
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -167,6 +168,20 @@ def test_license_scan_matches_every_template(spark):
         assert got == want
 
 
+def test_license_scan_reads_wrapped_headers_and_tells_licenses_apart(spark):
+    wrap = lambda text, sign: "\n".join(sign + line for line in textwrap.wrap(text, 70))
+    texts, want = [], []
+    for label, template in license_scan.TEMPLATES:
+        for sign in ("", "# ", " * "):
+            texts.append(wrap("Copyright 2020 by the authors, all of them. " + template + ". Here the other text goes on.", sign))
+            want.append(label)
+    near = " ".join(f"x{i}" for i in range(40))
+    texts += ["Licensed under CC BY 4.0.", "Released under the Apache License.", f"released {near} under {near} the {near} mit {near} license", "This work is licensed under the GNU General Public License, version 2"]
+    rows = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    got = [",".join(x for x in rows[i]["labels"].split(",") if x.startswith("spdx:")) for i in range(len(texts))]
+    assert got == want + [""] * 4 and all(rows[i]["score"] == 1.0 for i in range(len(want)))
+
+
 @pytest.mark.parametrize("block", [8_000_000, 300])
 def test_decontamination_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
