@@ -89,13 +89,16 @@ def c03_merged_bins(spark: SparkSession, sf_dir: str, least: int = 60) -> DataFr
 
 
 def x04_first_exit(spark: SparkSession, sf_dir: str, target: float = 0.1, stop: float = -0.1, bars: int = 20) -> DataFrame:
-    """For an entry at each symbol's every fiftieth bar: the first bar that hits the target, the stop or the time limit."""
+    """For an entry at each bar of a symbol (number k0): the first of the `bars` bars behind it that hits the target or
+    the stop, or the last of them. Entries without a hit whose time limit lies behind the last bar are still open: no row."""
     w = W.partitionBy("symbol").orderBy("ts")
-    rows = BARS.frame(spark, sf_dir).select("symbol", "ts", "close", F.row_number().over(w).alias("k"))
-    entries = rows.where("k % 50 = 1").select("symbol", F.col("k").alias("k0"), F.col("close").alias("c0"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + bars)).alias("k"))
-    seen = entries.join(rows, ["symbol", "k"]).withColumn("move", F.col("close") / F.col("c0") - 1)
-    rule = F.when(F.col("move") >= target, "TARGET").when(F.col("move") <= stop, "STOP").when(F.col("k") - F.col("k0") == bars, "TIME")
-    return seen.withColumn("rule", rule).where("rule is not null").groupBy("symbol", "k0").agg(F.min_by("rule", "k").alias("rule"), (F.min("k") - F.first("k0")).alias("bars_held"))
+    ahead = [F.lead("close", i).over(w).alias(f"c{i}") for i in range(1, bars + 1)]
+    rows = BARS.frame(spark, sf_dir).select("symbol", F.col("close").alias("c0"), F.row_number().over(w).alias("k0"), F.count("*").over(w.rowsBetween(1, bars)).alias("n_ahead"), *ahead)
+    exit_of = lambda rule, i: F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("bars_held"))
+    move = lambda i: F.try_divide(f"c{i}", "c0") - 1
+    hits = [F.when(move(i) >= target, exit_of("TARGET", i)).when(move(i) <= stop, exit_of("STOP", i)) for i in range(1, bars + 1)]
+    found = F.coalesce(*hits, F.when(F.col("n_ahead") == bars, exit_of("TIME", bars)))
+    return rows.select("symbol", "k0", found.alias("x")).where("x is not null").select("symbol", "k0", "x.rule", "x.bars_held")
 
 
 def f07_hybrid_search(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
