@@ -4,7 +4,8 @@ Both public vocabularies split a text before any merge: no token holds a space b
 together with a mark (but the apostrophe). So the ids of a text are the ids of its pieces: words with the space before
 them (where the vocabulary keeps spaces), cut from the marks behind them where the letters are plain Latin ones, which
 lower-case and compose alike everywhere. The library encodes each distinct piece once for a worker. Control characters
-that Python and the library class differently (U+001C to U+001F) send the whole text to the library instead.
+that Python and the library class differently (U+001C to U+001F) send the whole text to the library instead, and so
+does an added token in the text (<|endoftext|>), which the library finds before it splits and gives its one id.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class PieceIds(dict):
 
         super().__init__()
         self.library, self.pieces, self.held, self.lower = Tokenizer.from_file(path), (_SPACED if keep_spaces else _SPACELESS).findall, 0, not keep_spaces
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         plain = [" ", *filter(re.compile(f"[{_LETTERS}]").match, map(chr, range(256)))]
         self.signs = {ord(c): bytes_of(c)[0][0] for c in plain}
@@ -54,7 +55,8 @@ class PieceIds(dict):
             if self.held > TABLE_BYTES:
                 self.clear()
                 self.held = 0
-            yield b"".join(map(self.__getitem__, [text] if _CLASSED_APART.search(text) else self.pieces(text))) if text else b""
+            whole = _CLASSED_APART.search(text) or any(t in text for t in self.added)
+            yield b"".join(map(self.__getitem__, [text] if whole else self.pieces(text))) if text else b""
 
 
 _loaded: dict[tuple[str, bool], PieceIds] = {}

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from barloom.llm import decontaminate, hilbert_shards, language_id, license_scan, minhash_dedup, packing, quality_model, quality_rules, token_files, toxicity
 from barloom.llm.common import held_out
@@ -247,6 +248,23 @@ def test_piece_ids_equal_whole_texts(spark, name, spaces):
         assert np.frombuffer(ids, "<u4").tolist() == table.library.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_equal_a_fresh_tokenizer(name, spaces):
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["one <|endoftext|> two", "<|startoftext|>one", "a<|endoftext|><|endoftext|>b\n<|EndOfText|>", "<|endoftext|>", "<|endoftext", "plain text, twice."]
+    for text, ids in zip(texts, piece_ids(public_tokenizers.path(name), spaces).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert len(fresh.encode(texts[0], add_special_tokens=False).ids) < 5
+
+
+def test_token_files_count_added_tokens(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts, fresh = ["one <|endoftext|> two", "three"], Tokenizer.from_file(path)
+    rows = token_files.read_token_files(token_files.write_token_files(frame(spark, texts), f"file://{tmp_path}", path)).orderBy("doc_id").collect()
+    want = [np.array([*fresh.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    assert [(r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(s, len(x), zlib.crc32(x.tobytes())) for s, x in zip((0, len(want[0])), want, strict=True)]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
