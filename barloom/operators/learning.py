@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.operators.retrieval import bm25, keyword_search, query_terms
+from barloom.operators.retrieval import bm25_scores, embedding_scores, query_terms
 from barloom.plans.layers import Plan, lag, lead, roll
 from barloom.sources.bars import BARS, read
 from barloom.sources.files import checksum
@@ -102,11 +102,13 @@ def x04_first_exit(spark: SparkSession, sf_dir: str, target: float = 0.1, stop:
 
 
 def f07_hybrid_search(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
-    """0.6 of the keyword and 0.4 of the BM25 score, each by its best, over the union of both lists."""
-    docs, queries = read(spark, sf_dir, "documents"), query_terms(read(spark, sf_dir, "benchmark"))
-    scaled = lambda df, name: df.select("item_id", "doc_id", (F.col("score") / F.max("score").over(W.partitionBy("item_id"))).alias(name))
-    both = scaled(keyword_search(docs, queries, 50), "a").join(scaled(bm25(docs, queries, 50), "b"), ["item_id", "doc_id"], "full_outer")
-    score = F.round(0.6 * F.coalesce("a", F.lit(0.0)) + 0.4 * F.coalesce("b", F.lit(0.0)), 6)
+    """0.6 of the BM25 and 0.4 of the embedding score, each by its best of the item, over the union of both whole lists."""
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    a, b = bm25_scores(docs, query_terms(items)).withColumnRenamed("score", "a"), embedding_scores(docs, items).withColumnRenamed("score", "b")
+    both = a.join(b, ["item_id", "doc_id"], "full_outer")
+    best = both.groupBy("item_id").agg(F.max("a").alias("best_a"), F.max("b").alias("best_b"))
+    part = lambda x: F.coalesce(F.try_divide(x, f"best_{x}"), F.lit(0.0))
+    score, both = F.round(0.6 * part("a") + 0.4 * part("b"), 6), both.join(best, "item_id")
     place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return both.select("item_id", "doc_id", score.alias("score")).withColumn("place", place).where(F.col("place") <= top)
 
