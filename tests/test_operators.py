@@ -94,3 +94,21 @@ def test_stream_equals_table(spark, tmp_path, job):
     assert streamed(spark, events, tmp_path, job, "append" if job is alerts else "complete" if job is event_bars else "append") <= table
     if job is not activity_sessions:
         assert spark.table(f"q_{job.__name__}").count() == len(table)
+
+
+def test_alerts_hold_no_whole_user(spark):
+    """A user's events come in many batches; a table reads them in one sorted pass, without a group in memory."""
+    events = spark.range(5000).selectExpr("id as event_id", "id % 2 as user_id", "timestamp_seconds(id * 977 % 5000 * 3600) as ts", "double(50 + id * 31 % 97) as value")
+    rows = sorted((r["ts"], r["event_id"], r["user_id"], r["value"]) for r in events.collect())
+    want, last = set(), {}
+    for ts, _, user, value in rows:
+        old = last.get(user)
+        if old is None or ts - old[0] >= dt.timedelta(hours=12) or value - old[1] >= 30:
+            want.add((user, ts, value, "FIRST" if old is None else "COOLDOWN_OVER" if ts - old[0] >= dt.timedelta(hours=12) else "CHANGE"))
+            last[user] = (ts, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    out = alerts(events)
+    got = [tuple(r) for r in out.collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == want and len(got) == len(want)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
