@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barloom.plans.layers import duck_text
 from barloom.plans.statements import Statement, table
 from barloom.sources import tables as t
 from barloom.sources.bars import BARS
@@ -60,11 +61,13 @@ TEXTS = {
     "t04_best_runs": "SELECT strategy, score, net_return FROM (SELECT strategy, round(avg(score), 6) AS score, round(avg(net_return), 6) AS net_return FROM {outcomes} GROUP BY strategy) q ORDER BY net_return DESC, strategy LIMIT 3",
     "t05_top_exposures": "SELECT symbol, notional FROM (SELECT symbol, round(sum(notional), 2) AS notional FROM {trades} GROUP BY symbol) q ORDER BY notional DESC, symbol LIMIT 10",
     "t06_candidates": "SELECT symbol, ts, score, place FROM (SELECT symbol, ts, score, row_number() OVER (PARTITION BY ts ORDER BY score DESC, signal_id) AS place FROM {outcomes} WHERE score >= 40) q WHERE place <= 5",
-    "t07_newest_by_fingerprint": "SELECT symbol, strategy, max_by(signal_id, day_number(ts) * CAST(1000000 AS BIGINT) + signal_id % 1000000) AS signal_id, count(*) AS n FROM {outcomes} GROUP BY symbol, strategy",
+    "t07_newest_by_fingerprint": "SELECT symbol, strategy, max_by(signal_id, struct(ts, signal_id)) AS signal_id, count(*) AS n FROM {outcomes} GROUP BY symbol, strategy",
     "u02_union_votes": "SELECT symbol, source, direction FROM (SELECT symbol, 'technical' AS source, CASE WHEN close > ma_20 THEN 'LONG' ELSE 'SHORT' END AS direction FROM {breadth} WHERE ma_20 IS NOT NULL UNION ALL SELECT symbol, 'fundamental', CASE WHEN size > 0 THEN 'LONG' ELSE 'SHORT' END FROM {instruments}) q",
     "u03_set_difference": "SELECT c_custkey AS symbol FROM {customer} EXCEPT SELECT o_custkey FROM {orders}",
     "u04_intersection": "SELECT s_nationkey AS nation FROM {supplier} INTERSECT SELECT c_nationkey FROM {customer}",
     "u05_distinct_edges": "SELECT DISTINCT o_custkey AS a, o_orderpriority AS b FROM {orders}",
 }
 
-STATEMENTS = {n: Statement(text, S) for n, text in TEXTS.items()}
+#: The newest record by stamp and id; the SQL keeps its numeric order key.
+NEWEST = {"struct(ts, signal_id)": duck_text("day_number(ts) * CAST(1000000 AS BIGINT) + signal_id % 1000000")}
+STATEMENTS = {n: Statement(text, S, NEWEST) for n, text in TEXTS.items()}

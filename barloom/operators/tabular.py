@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barloom.operators.crosssection import NEWEST
 from barloom.operators.crosssection import S as BASE
 from barloom.plans.statements import Statement, table
 from barloom.sources.tables import derived
@@ -49,7 +50,7 @@ TEXTS = {
     "j02_asof_higher_timeframe": f"SELECT symbol, ts, higher_close FROM ({_ASOF}) q WHERE side = 1",
     "j02_closed_bar_only": f"SELECT symbol, ts, last_value(c) IGNORE NULLS {_W}, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS closed_close, side FROM (SELECT symbol, ts, CAST(NULL AS DOUBLE) AS c, 1 AS side FROM {{bars}} UNION ALL SELECT symbol, period, lag(close) OVER (PARTITION BY symbol ORDER BY period), 0 FROM ({_WEEKS}) w) u",
     "j03_price_factors": f"SELECT symbol, ts, round(coalesce(factor, 1.0), 9) AS factor FROM ({_NEXT_FACTOR}) q WHERE side = 1",
-    "j04_status_as_of": "SELECT symbol, max_by(state, day_number(ts) * CAST(1000000 AS BIGINT) + signal_id % 1000000) AS status FROM {outcomes} WHERE ts <= DATE '1999-01-01' GROUP BY symbol",
+    "j04_status_as_of": "SELECT symbol, max_by(state, struct(ts, signal_id)) AS status FROM {outcomes} WHERE ts <= DATE '1999-01-01' GROUP BY symbol",
     "j06_event_windows": "SELECT e.user_id, w.kind, count(*) AS n FROM {events} e JOIN {windows} w ON e.user_id = w.user_id AND CAST(e.ts AS DATE) BETWEEN w.starts AND w.ends GROUP BY e.user_id, w.kind",
     "j07_events_around": "SELECT a.user_id, count(*) AS pairs FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND abs(day_number(CAST(a.ts AS DATE)) - day_number(CAST(b.ts AS DATE))) <= 2 GROUP BY a.user_id",
     "j08_peer_group": "SELECT symbol, sector, count(*) OVER (PARTITION BY sector) - 1 AS peers, round((sum(size) OVER (PARTITION BY sector) - size) / nullif(count(*) OVER (PARTITION BY sector) - 1, 0), 6) AS peer_mean FROM {instruments}",
@@ -89,10 +90,10 @@ TEXTS = {
     "x08_daily_drift": "SELECT e.day, round(e.m - b.m, 6) AS shift, CASE WHEN abs(e.m - b.m) > 0.5 * b.s THEN 1 ELSE 0 END AS drifted FROM (SELECT CAST(ts AS DATE) AS day, avg(value) AS m FROM {events} GROUP BY CAST(ts AS DATE)) e CROSS JOIN (SELECT avg(value) AS m, stddev_pop(value) AS s FROM {events} WHERE ts < TIMESTAMP '2024-01-08 00:00:00') b",
     "m10_attribution_shares": "SELECT symbol, ts, feature, round(abs(x) / nullif(sum(abs(x)) OVER (PARTITION BY symbol, ts), 0), 6) AS share FROM (SELECT symbol, ts, 'distance' AS feature, close / nullif(ma_20, 0) - 1 AS x FROM {breadth} WHERE ma_20 IS NOT NULL UNION ALL SELECT symbol, ts, 'momentum', close / nullif(close_20_ago, 0) - 1 FROM {breadth} WHERE ma_20 IS NOT NULL UNION ALL SELECT symbol, ts, 'range', (high - low) / nullif(close, 0) FROM {breadth} WHERE ma_20 IS NOT NULL) q",
     "x02_fingerprint": "SELECT signal_id, hash_text(CAST(symbol AS VARCHAR(20)) || '|' || strategy || '|' || CAST(CAST(floor(score) AS BIGINT) AS VARCHAR(20))) AS fingerprint FROM {outcomes}",
-    "x03_lifecycle_state": "SELECT symbol, max_by(state, day_number(ts) * CAST(1000000 AS BIGINT) + signal_id % 1000000) AS state, CASE WHEN max(ts) < DATE '2000-01-01' THEN 'EXPIRED' ELSE 'ACTIVE' END AS lifecycle FROM {outcomes} GROUP BY symbol",
+    "x03_lifecycle_state": "SELECT symbol, max_by(state, struct(ts, signal_id)) AS state, CASE WHEN max(ts) < DATE '2000-01-01' THEN 'EXPIRED' ELSE 'ACTIVE' END AS lifecycle FROM {outcomes} GROUP BY symbol",
     "x05_watchlist_expiry": "SELECT symbol, ts FROM {outcomes} WHERE score >= 90 AND ts >= DATE '2000-12-01'",
     "x07_freshness": "SELECT symbol, max(ts) AS newest, day_number(DATE '2001-12-31') - day_number(max(ts)) AS age_days, day_number(DATE '2001-12-31') - day_number(max(ts)) > 30 AS stale FROM {bars} GROUP BY symbol",
 }
 
-_OTHER = {"LEFT ANTI JOIN": "ANTI JOIN", "LEFT SEMI JOIN": "SEMI JOIN", ") IGNORE NULLS": " IGNORE NULLS)"}
+_OTHER = NEWEST | {"LEFT ANTI JOIN": "ANTI JOIN", "LEFT SEMI JOIN": "SEMI JOIN", ") IGNORE NULLS": " IGNORE NULLS)"}
 STATEMENTS = {n: Statement(text, S, _OTHER) for n, text in TEXTS.items()}

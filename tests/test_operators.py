@@ -8,9 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import crosssection, tabular
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.recursive import ewm, scan, supertrend_step
 from barloom.plans.layers import Plan, Source
+from barloom.plans.statements import Statement
 from barloom.sources import files
 from barloom.streaming.jobs import activity_sessions, alerts, event_bars, event_stream
 
@@ -96,6 +98,14 @@ def test_stream_equals_table(spark, tmp_path, job):
         assert spark.table(f"q_{job.__name__}").count() == len(table)
 
 
+@pytest.mark.parametrize(("statements", "name", "column", "want"), [(crosssection.STATEMENTS, "t07_newest_by_fingerprint", "signal_id", 1_000_001), (tabular.STATEMENTS, "j04_status_as_of", "status", "P"), (tabular.STATEMENTS, "x03_lifecycle_state", "state", "P")])
+def test_newest_record_over_a_million_ids(spark, statements, name, column, want):
+    day = dt.date(1998, 5, 1)
+    df = spark.createDataFrame([(999_999, 7, "A", "F", day), (1_000_001, 7, "A", "P", day), (1, 7, "A", "O", day)], "signal_id long, symbol long, strategy string, state string, ts date")
+    rows = Statement(statements[name].text, {"outcomes": Source(lambda s, d: df, "")}).frame(spark, "").collect()
+    assert [r[column] for r in rows] == [want]
+
+
 def test_alerts_hold_no_whole_user(spark):
     """A user's events come in many batches; a table reads them in one sorted pass, without a group in memory."""
     events = spark.range(5000).selectExpr("id as event_id", "id % 2 as user_id", "timestamp_seconds(id * 977 % 5000 * 3600) as ts", "double(50 + id * 31 % 97) as value")
