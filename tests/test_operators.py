@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import crosssection, tabular
+from barloom.operators import calibration, crosssection, tabular
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.recursive import ewm, scan, supertrend_step
 from barloom.plans.layers import Plan, Source
@@ -106,6 +106,12 @@ def test_newest_record_over_a_million_ids(spark, statements, name, column, want)
     assert [r[column] for r in rows] == [want]
 
 
+def test_regime_filter_rejects(spark):
+    df = spark.createDataFrame([(1, dt.date(2024, 1, i), c, 100.0) for i, c in ((1, 70.0), (2, 90.0), (3, 110.0))], "symbol long, ts date, close double, ma_50 double")
+    rows = Statement(calibration.STATEMENTS["e06_regime_filter"].text, {"breadth": Source(lambda s, d: df, "")}).frame(spark, "").orderBy("ts").collect()
+    assert [r["decision"] for r in rows] == ["REJECT", "REDUCE", "PASS"]
+
+
 def test_alerts_hold_no_whole_user(spark):
     """A user's events come in many batches; a table reads them in one sorted pass, without a group in memory."""
     events = spark.range(5000).selectExpr("id as event_id", "id % 2 as user_id", "timestamp_seconds(id * 977 % 5000 * 3600) as ts", "double(50 + id * 31 % 97) as value")
