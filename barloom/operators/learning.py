@@ -114,7 +114,8 @@ def f07_hybrid_search(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFr
 
 
 def f12_f13_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mail addresses, versions and years found in texts, with the number of documents that hold them."""
+    """Hosts of the form mailN and versions found in texts, with the number of documents that hold them: a small part of
+    F12 and F13. Dates, events and links to instruments are open."""
     text = F.col("text")
     found = F.array_union(F.regexp_extract_all(text, F.lit(r"@(mail[0-9]+)\."), F.lit(1)), F.regexp_extract_all(text, F.lit(r"[Vv]ersion ([0-9](?:\.[0-9])?)"), F.lit(1)))
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("entity")).groupBy("entity").agg(F.count_distinct("doc_id").alias("n"))
