@@ -10,14 +10,13 @@ _built: dict[str, ahocorasick.Automaton] = {}
 
 
 def automaton(patterns: list[tuple[str, object]]) -> ahocorasick.Automaton:
-    """The automaton over (pattern, value) pairs; patterns must not be empty. The two last ones stay in memory."""
+    """The automaton over (pattern, value) pairs; patterns must not be empty. The last one stays in memory."""
     digest = hashlib.sha256()
     for pattern, value in patterns:
         digest.update(repr((pattern, value)).encode("utf-8", "surrogatepass"))
     key = digest.hexdigest()
     if key not in _built:
-        while len(_built) > 1:
-            _built.pop(next(iter(_built)))
+        _built.clear()
         machine = ahocorasick.Automaton()
         for pattern, value in patterns:
             machine.add_word(pattern, value)

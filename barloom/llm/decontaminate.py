@@ -16,7 +16,7 @@ from barloom.llm.automaton import automaton
 from barloom.llm.common import cut, small_batches
 
 WINDOW = 10
-BLOCK_BYTES = 8_000_000  #: text of the windows in one automaton; a larger benchmark is scanned in blocks
+BLOCK_BYTES = 8_000_000  #: text of the windows and ids in one automaton; a larger benchmark takes a pass for each block
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -95,27 +95,19 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, _pairs("start", "end"))], [*batch.schema.names, "n_words", "spans"])
 
 
-def _then(*steps):
-    """One pass of several steps over the batches of a task."""
-
-    def run(batches):
-        for step in steps:
-            batches = step(batches)
-        return batches
-
-    return run
-
-
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, tuple[int, list[str]]]]]:
-    """The automata's patterns: ' w1 ... wn ' -> (n, items), in blocks of bounded size."""
+    """The automata's patterns: ' w1 ... wn ' -> (n, items), in blocks of bounded size, each collected when it is due.
+    The parts are dealt by (window, item), so that neither a window of all items nor an item of all windows is in one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    found = cut(items.mapInArrow(_windows, "window string, item_id string").groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
-    size = found.agg(F.sum(F.length("window") + 1).alias("n")).first()["n"] or 0
+    found = cut(items.mapInArrow(_windows, "window string, item_id string").distinct(), "windows")
+    size = found.agg(F.sum(F.length("window") + F.length("item_id") + 2).alias("n")).first()["n"] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    part = F.pmod(F.xxhash64("window"), F.lit(n))
+    part = F.pmod(F.xxhash64("window", "item_id"), F.lit(n))
     for k in range(n):
-        rows = found.where(part == k).collect()
-        yield sorted((f" {r['window']} ", (r["window"].count(" ") + 1, list(r["items"]))) for r in rows)
+        patterns: dict[str, list[str]] = {}
+        for r in found.where(part == k).collect():  # BLOCK_BYTES of text, about
+            patterns.setdefault(r["window"], []).append(r["item_id"])
+        yield sorted((f" {w} ", (w.count(" ") + 1, sorted(ids))) for w, ids in patterns.items())
 
 
 _NAMES = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans")
@@ -126,21 +118,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     contaminated and spans (start and end in characters of the original text). Columns of docs with these names are
     replaced, all others stay.
 
-    An item's windows are its runs of WINDOW words, or the whole item if it has fewer. All windows up to BLOCK_BYTES of
-    text stand in one automaton, and a text is scanned once; only a larger benchmark takes an automaton, and a scan in
-    the same task, for each block of that size. A null text has no words; null items and items without words match
-    nothing; items with equal windows all count; items of one id are one item. items_sha256 of no item is that of the
-    empty string. Repeated rows give repeated results; an empty table gives an empty one.
+    An item's windows are its runs of WINDOW words, or the whole item if it has fewer. All windows stand in one
+    automaton, which scans each text once. A benchmark with more than BLOCK_BYTES of windows takes one pass over the
+    texts for each block of that size, with one block in memory at a time and the hits so far written in between; the
+    result is the same. A null text has no words; a very long one is scanned whole inside its row; null items and items
+    without words match nothing; items with equal windows all count; items of one id are one item. items_sha256 of no
+    item is that of the empty string. Repeated rows give repeated results; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.drop(*_NAMES, "_runs", "_items")
     pair = "array<struct<{}: bigint, {}: bigint>>"
-    started = rows.withColumns({"text": F.col("text").cast("binary"), "_runs": F.array().cast(pair.format("first", "last")), "_items": F.array().cast("array<string>")})
-    scans = [_scan(spark.sparkContext.broadcast(patterns)) for patterns in _blocks(benchmark)]
-    others = [f for f in started.schema.fields if f.name not in ("_runs", "_items")]
-    kinds = T.StructType([*others, *started.select("_runs", "_items").schema.fields, *T.StructType.fromDDL(f"n_words bigint, spans {pair.format('start', 'end')}").fields])
-    found = started.mapInArrow(_then(*scans, _measure), kinds)
+    found = rows.withColumns({"text": F.col("text").cast("binary"), "_runs": F.array().cast(pair.format("first", "last")), "_items": F.array().cast("array<string>")})
+    others = [f for f in found.schema.fields if f.name not in ("_runs", "_items")]
+    scanned = T.StructType([*others, *found.select("_runs", "_items").schema.fields])
+    for k, patterns in enumerate(_blocks(benchmark)):
+        found = (cut(found, "scanned") if k else found).mapInArrow(_scan(spark.sparkContext.broadcast(patterns)), scanned)
+    found = found.mapInArrow(_measure, T.StructType([*scanned.fields, *T.StructType.fromDDL(f"n_words bigint, spans {pair.format('start', 'end')}").fields]))
     n_hit = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
     return found.withColumns({
         "text": F.col("text").cast("string"), "n_hit": n_hit, "n_items": F.size("_items").cast("long"), "items": F.col("_items"),

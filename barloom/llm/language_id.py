@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,14 +11,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import small_batches
+from barloom.llm.common import small_batches, text_runs
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15  #: for each order
-CHUNK_CHARS = 500_000  #: characters worked on at once
-MAX_LANGUAGES = 2000  #: bounds the broadcast matrix
+SLICE = 1_000_000  #: n-grams worked on at once
+MAX_CELLS = 1 << 25  #: of the broadcast matrix (128 MiB): languages times buckets of all orders
 SMOOTHING = 0.5
-SCORE_GRAMS = 40  #: the score is as sure as this many n-grams at most
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _tables: list[np.ndarray] = []
@@ -30,9 +30,9 @@ def _letters() -> np.ndarray:
     return _tables[0]
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order: buckets of the n-grams of all texts, and the text each belongs to. Letters are lower-cased,
-    everything else is a space, runs of spaces are one."""
+def grams(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, buckets of n-grams, the text each belongs to), SLICE n-grams at a time, each n-gram of the whole texts
+    once. Letters are lower-cased, everything else is a space, runs of spaces are one."""
     low = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "replace"), np.uint32)
     owner = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
@@ -41,56 +41,40 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     keep[1:] |= letter[:-1] | (owner[1:] != owner[:-1])
     keep[:1] = True
     codes, owner = np.where(letter, codes, np.uint32(32))[keep], owner[keep]
-    buckets, owners = [], []
-    for n in ORDERS:
-        m = max(0, len(codes) - n + 1)
-        h = np.full(m, n, np.uint32)
-        for i in range(n):
-            h ^= codes[i : i + m]
-            h *= np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-        inside = owner[:m] == owner[n - 1 : n - 1 + m]
-        buckets.append(((h >> np.uint32(7)) & np.uint32(BUCKETS - 1))[inside])
-        owners.append(owner[:m][inside])
-    return buckets, owners
-
-
-def chunks(texts: list[str | None]):
-    """Runs of (first, texts) of about CHUNK_CHARS; a longer text is cut in pieces that overlap by an n-gram less one."""
-    at, run, size = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t or ""
-        if run and size + len(t) > CHUNK_CHARS:
-            yield at, run
-            at, run, size = i, [], 0
-        while len(t) > CHUNK_CHARS and not run:
-            yield i, [t[:CHUNK_CHARS]]
-            t = t[CHUNK_CHARS - max(ORDERS) + 1 :]
-            at = i
-        run.append(t)
-        size += len(t)
-    if run:
-        yield at, run
-
-
-def _count(batches):
+    for k, n in enumerate(ORDERS):
+        for first in range(0, len(codes) - n + 1, SLICE):
+            m = min(SLICE, len(codes) - n + 1 - first)
+            h = np.full(m, n, np.uint32)
+            for i in range(n):
+                h ^= codes[first + i : first + i + m]
+                h *= np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+            inside = owner[first : first + m] == owner[first + n - 1 : first + n - 1 + m]
+            yield k, ((h >> np.uint32(7)) & np.uint32(buckets - 1))[inside], owner[first : first + m][inside]
+
+
+def _count(buckets: int):
     """Counts of a task by language, order and bucket; only a vector for each language is held."""
-    counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for at, texts in chunks(batch.column("text").to_pylist()):
-            own = langs[at : at + len(texts)]
-            names = sorted(set(own))
-            if any(n not in counts for n in names):
-                counts |= {n: np.zeros(len(ORDERS) * BUCKETS, np.int64) for n in names if n not in counts}
-            code = np.array([names.index(x) for x in own])
-            for k, (bucket, owner) in enumerate(zip(*grams(texts), strict=True)):
-                found = np.bincount(code[owner].astype(np.int64) * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                for j, n in enumerate(names):
-                    counts[n][k * BUCKETS : (k + 1) * BUCKETS] += found[j]
-    for n, c in counts.items():
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([n] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
+
+    def run(batches):
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for at, texts in text_runs(batch.column("text").to_pylist()):
+                own = langs[at : at + len(texts)]
+                names = sorted(set(own))
+                counts |= {n: np.zeros(len(ORDERS) * buckets, np.int64) for n in names if n not in counts}
+                place = {n: j for j, n in enumerate(names)}
+                code = np.array([place[x] for x in own])
+                for k, bucket, owner in grams(texts, buckets):
+                    found = np.bincount(code[owner].astype(np.int64) * buckets + bucket, minlength=len(names) * buckets).reshape(len(names), buckets)
+                    for j, n in enumerate(names):
+                        counts[n][k * buckets : (k + 1) * buckets] += found[j]
+        for n, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
+
+    return run
 
 
 @dataclass
@@ -98,27 +82,30 @@ class Languages:
     names: list[str]
     logs: np.ndarray  #: (orders * buckets, languages) of log probabilities
     priors: np.ndarray
+    buckets: int = BUCKETS
 
 
-def fit(docs: DataFrame) -> Languages:
-    """Train on all rows of docs(text, lang) with both; the result has as many cells as languages times buckets."""
+def fit(docs: DataFrame, buckets: int = BUCKETS) -> Languages:
+    """Train on all rows of docs(text, lang) with both. The matrix has languages x orders x `buckets` (a power of two)
+    cells; more than MAX_CELLS are refused: take fewer buckets for many languages."""
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = MAX_CELLS // (len(ORDERS) * buckets)
+    sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().limit(most + 1).collect())
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages with {buckets} buckets for each order: pass fewer buckets")
     names = [n for n, _ in sizes]
-    counts = np.zeros((len(ORDERS) * BUCKETS, len(names)))
-    found = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(ORDERS) * buckets, len(names)), np.float32)
+    found = known.mapInArrow(_count(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each cell
     place = {n: i for i, n in enumerate(names)}
     if names:
         counts[found.column("bucket").to_numpy(), np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)] = found.column("n").to_numpy()
-    logs = np.log(counts + SMOOTHING)
+    logs = np.log(counts + np.float32(SMOOTHING))
     for k in range(len(ORDERS)):  # each order is a distribution of its own
-        part = slice(k * BUCKETS, (k + 1) * BUCKETS)
-        logs[part] -= np.log(counts[part].sum(axis=0) + SMOOTHING * BUCKETS)
+        part = slice(k * buckets, (k + 1) * buckets)
+        logs[part] -= np.log(counts[part].sum(axis=0, dtype=np.float64) + SMOOTHING * buckets).astype(np.float32)
     total = sum(c for _, c in sizes)
-    return Languages(names, np.ascontiguousarray(logs, np.float32), np.log(np.array([c for _, c in sizes]) / total) if names else np.empty(0))
+    return Languages(names, logs, np.log(np.array([c for _, c in sizes]) / total) if names else np.empty(0), buckets)
 
 
 def _predict(model):
@@ -128,25 +115,23 @@ def _predict(model):
         step = max(1, 2_000_000 // max(1, n))
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            sums, sizes = np.zeros((len(texts), n)), np.zeros(len(texts))
-            for at, part in chunks(texts):
-                for k, (bucket, owner) in enumerate(zip(*grams(part), strict=True)):
-                    sizes[at : at + len(part)] += np.bincount(owner, minlength=len(part))
+            sums = np.zeros((len(texts), n))
+            for at, part in text_runs(texts):
+                for k, bucket, owner in grams(part, languages.buckets):
                     for i in range(0, len(bucket), step):
                         own = owner[i : i + step]
                         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                        sums[at + own[starts]] += np.add.reduceat(logs[k * BUCKETS + bucket[i : i + step].astype(np.int64)], starts, axis=0, dtype=np.float64)
+                        sums[at + own[starts]] += np.add.reduceat(logs[k * languages.buckets + bucket[i : i + step].astype(np.int64)], starts, axis=0, dtype=np.float64)
             names, scores = [], []
             for i, t in enumerate(texts):
                 if not n or not t or not _LETTER.search(t):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                scaled = sums[i] / max(1, sizes[i]) * min(sizes[i], SCORE_GRAMS)
-                best = int((sums[i] + languages.priors).argmax())
-                odds = np.exp(scaled - scaled.max())
+                joint = sums[i] / len(ORDERS) + languages.priors
+                best = int(joint.argmax())
                 names.append(languages.names[best])
-                scores.append(float(odds[best] / odds.sum()))
+                scores.append(float(1 / np.exp(joint - joint[best]).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
 
     return run
@@ -155,8 +140,9 @@ def _predict(model):
 def predict_language(docs: DataFrame, model: Languages) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, lang_pred, score, one row for each input row.
 
-    A null text, one without a letter, or a model without languages gives `und` and score 0. Ties take the language
-    that sorts first. Repeated rows are scored alike, an empty table gives an empty result, extra columns are not read.
+    The orders are three readings of one text, so the evidence is their mean; score is the posterior of the answer by
+    that evidence and the priors. A null text, one without a letter, or a model without languages gives `und` and score
+    0. A very long text is read whole, SLICE n-grams at a time. Ties take the language that sorts first. Repeated rows are scored alike, an empty table gives an empty result, extra columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Machine:
     """Train on a bounded sample of rows that are not held out (SAMPLE); executors describe the texts."""
     small_batches(docs.sparkSession)
     rows = labelled_sample(_columns(docs), labels, "quality", held_out, SAMPLE)
-    found = rows.orderBy("doc_id").select("text", "n_chars", F.col("quality").cast("int").alias("quality")).mapInArrow(_describe, "quality int, at binary, weights binary, statistics binary").toArrow()
+    found = rows.orderBy("doc_id", "text").select("text", "n_chars", F.col("quality").cast("int").alias("quality")).mapInArrow(_describe, "quality int, at binary, weights binary, statistics binary").toArrow()
     parts = [[np.frombuffer(x, t) for x in found.column(c).to_pylist()] for c, t in (("at", np.int32), ("weights", np.float32), ("statistics", np.float32))]
     return train(list(zip(*parts, strict=True)), found.column("quality").to_numpy().astype(np.int64))
 

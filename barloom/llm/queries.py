@@ -88,7 +88,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_TEMPLATES = ", ".join("({!r}, {!r})".format(label, text) for label, text in license_scan.TEMPLATES)
+_LIST = lambda words: "[{}]".format(", ".join(repr(w.decode()) for w in sorted(words)))
+_TEMPLATES = ", ".join(
+    "({!r}, {}, {}, {}, {}, {})".format(label, _LIST(words), license_scan.needed(len(words)), _LIST(words & license_scan.NAMES), _LIST(license_scan.TURNS - words), license_scan.width_of(text))
+    for (label, words), (_, text) in zip(license_scan.template_sets(), license_scan.TEMPLATES, strict=True)
+)
 _PHRASES = ", ".join("({!r}, {!r}, {})".format(p, label, len(p.split())) for p, label in license_scan.PHRASES.items())
 OP5_SQL = rf"""
 WITH words AS (SELECT doc_id, {LOWERED} AS t, regexp_extract_all({LOWERED}, '{TOKENS}') AS w FROM documents),
@@ -96,11 +100,14 @@ phrases(phrase, label, k) AS (VALUES {_PHRASES}),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 base AS (SELECT doc_id, label, i - 1 AS spot FROM places JOIN phrases ON array_to_string(w[i:i + k - 1], ' ') = phrase),
 by_doc AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_distinct(list(label)) AS own FROM base GROUP BY doc_id),
-templates AS (SELECT label, list_distinct(regexp_extract_all(lower(t), '{TOKENS}')) AS tw FROM (VALUES {_TEMPLATES}) v(label, t)),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{TOKENS}')) AS lw FROM words),
+templates(label, tw, need, names, turns, width) AS (VALUES {_TEMPLATES}),
+likely AS (SELECT doc_id, w, templates.* FROM words, templates WHERE len(list_intersect(list_distinct(w), tw)) >= need),
+starts AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM likely),
+runs AS (SELECT doc_id, label, tw, need, names, turns, w[i:i + width - 1] AS r FROM starts WHERE list_contains(tw, w[i])),
+ended AS (SELECT *, r[1:coalesce(list_min(list_filter(list_transform(turns, lambda x: list_position(r, x)), lambda p: p > 0)) - 1, len(r))] AS own FROM runs),
 met AS (
-  SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw) AS held FROM lines, templates
-  WHERE 100 * len(list_intersect(lw, tw)) >= {license_scan.PERCENT} * len(tw)),
+  SELECT doc_id, label, len(list_intersect(list_distinct(own), tw)) / len(tw) AS held FROM ended
+  WHERE len(list_intersect(list_distinct(own), tw)) >= need AND list_has_all(own, names)),
 met_doc AS (SELECT doc_id, list_distinct(list(label)) AS more, max(held) AS held FROM met GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels,

@@ -12,12 +12,14 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom.llm import decontaminate, hilbert_shards, language_id, license_scan, minhash_dedup, packing, quality_model, quality_rules, token_files, toxicity
 from barloom.llm.common import held_out
 from barloom.llm.components import connected_components
+from barloom.llm.labelled import labelled_sample
 from barloom.llm.tokens import piece_ids
 from tests.conftest import SMALL
 
@@ -65,6 +67,8 @@ def test_dedup_finds_all_components(spark, width):
 
 def test_dedup_lays_large_buckets_out_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    monkeypatch.setattr(minhash_dedup, "TILE", 3)
+    monkeypatch.setattr(minhash_dedup, "STAR", 4)
     texts = variants(60, 11, edits=14)
     found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(spark, texts), 4).collect()}
     assert [found[i] for i in range(len(texts))] == brute_components(texts, 4)
@@ -132,6 +136,41 @@ def test_toxicity_learns(spark):
     assert all((r["score"] >= 0.5) == bool(toxic[r["doc_id"]]) for r in rows) and any(r["out"] for r in rows)
 
 
+def test_toxicity_by_brute_force(spark):
+    """Every entry looked for at every place of the folded text, without an automaton."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels, held_out(F.col("doc_id"), 5, 0))
+    lexicon.entries |= {" the": 0.5, " the ": 0.25, " an ": 0.125}
+    lexicon.exceptions.append(" of the ")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, lexicon).collect()}
+    hits = 0
+    for r in docs.collect():
+        text = toxicity.fold([r["text"] or ""])[0]
+        starts = [i for i, c in enumerate(text) if c == " "]
+        excused = [(i, i + len(p)) for p in lexicon.exceptions for i in starts if text.startswith(p, i)]
+        total = n = 0
+        for i in starts:
+            own = [e for e in lexicon.entries if text.startswith(e, i)]
+            if own and not any(a <= i < b - 1 for a, b in excused):
+                total, n = total + lexicon.entries[max(own, key=len)], n + 1
+        a, b, c = lexicon.scale
+        x, y = np.log1p(max(0, total)), np.log1p(100 * max(0, total) / (len(text.split()) + 20))
+        assert (got[r["doc_id"]]["n_hits"], got[r["doc_id"]]["n_terms"]) == (n, len(text.split()))
+        assert np.isclose(got[r["doc_id"]]["score"], 1 / (1 + np.exp(-np.clip(a + b * x + c * y, -30, 30))))
+        hits += n
+    assert hits
+
+
+def test_labelled_sample_is_the_same_in_any_order(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10_000))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels = labels.union(labels.selectExpr("doc_id + 10000", "quality", "1 - toxic"))
+    pick = lambda d, n: {tuple(r) for r in labelled_sample(d.repartition(n), labels.repartition(n), "toxic", F.lit(False), {0: 60, 1: 20}).select("doc_id", "text", "toxic").collect()}
+    first = pick(docs, 3)
+    assert first == pick(docs, 7) and 0 < len(first) <= 80 and len({t for _, t, _ in first}) == len(first)
+
+
 def test_machine_equals_all_pairs():
     draw = np.random.default_rng(1)
     m = quality_model.Machine(np.zeros((1, 1)), 0.3, draw.normal(size=50), draw.normal(size=(50, 8)))
@@ -161,12 +200,15 @@ def test_license_scan_matches_every_template(spark):
             texts.append("Intro line.\n" + " ".join(kept) + " and more words here\nend")
     rows = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
-        want = set()
-        for line in t.lower().split("\n"):
-            block = set(words.findall(line.encode()))
-            want |= {label for label, own in license_scan.template_sets() if 100 * len(block & own) >= 80 * len(own)}
-        got = {x for x in rows[i]["labels"].split(",") if x.startswith("spdx:")}
-        assert got == want
+        own, want = words.findall(t.lower().encode()), set()
+        for (label, template), (_, text) in zip(license_scan.template_sets(), license_scan.TEMPLATES, strict=True):
+            need = len(template) if len(template) <= 8 else -(-80 * len(template) // 100)
+            for start in range(len(own)):
+                run = own[start : start + -(-100 * len(words.findall(text.lower().encode())) // 80)]
+                turn = next((k for k, w in enumerate(run) if w in license_scan.TURNS - template), len(run))
+                if len(template & set(run[:turn])) >= need and template & license_scan.NAMES <= set(run[:turn]):
+                    want.add(label)
+        assert {x for x in rows[i]["labels"].split(",") if x.startswith("spdx:")} == want
 
 
 def test_license_scan_reads_wrapped_headers_and_tells_licenses_apart(spark):
@@ -177,10 +219,10 @@ def test_license_scan_reads_wrapped_headers_and_tells_licenses_apart(spark):
             texts.append(wrap("Copyright 2020 by the authors, all of them. " + template + ". Here the other text goes on.", sign))
             want.append(label)
     near = " ".join(f"x{i}" for i in range(40))
-    texts += ["Licensed under CC BY 4.0.", "Released under the Apache License.", f"released {near} under {near} the {near} mit {near} license", "This work is licensed under the GNU General Public License, version 2"]
+    texts += ["Licensed under CC BY 4.0.", "Released under the Apache License.", f"released {near} under {near} the {near} mit {near} license", "This work is licensed under the GNU General Public License, version 2", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"]
     rows = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
     got = [",".join(x for x in rows[i]["labels"].split(",") if x.startswith("spdx:")) for i in range(len(texts))]
-    assert got == want + [""] * 4 and all(rows[i]["score"] == 1.0 for i in range(len(want)))
+    assert got == want + [""] * 5 and all(rows[i]["score"] == 1.0 for i in range(len(want)))
 
 
 @pytest.mark.parametrize("block", [8_000_000, 300])
@@ -239,6 +281,51 @@ def test_shards_hold_near_equal_bytes_and_whole_groups(spark):
     assert all(len(s) == 1 for t, s in shards.items() if not t.startswith("hot"))
 
 
+def test_shards_by_brute_force(spark):
+    """Coordinates, curve, order and cuts written out for a small table."""
+    draw = random.Random(6)
+    rows = [(i, f"text {draw.randrange(150)} " + "y" * draw.randrange(30), draw.choice(["de", "en", None]), f"https://site{draw.randrange(9)}.example", draw.randrange(500)) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in hilbert_shards.hilbert_shards(docs, whole_percent=100).collect()}
+    langs, sources = sorted({r[2] or "" for r in rows}), sorted({r[3] for r in rows})
+    cuts = docs.agg(F.percentile_approx("n_chars", [i / 32 for i in range(1, 32)], 10_000)).first()[0]
+    least = {}
+    for r in rows:
+        least[r[1]] = min(least.get(r[1], r), r)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r[0])
+    point = lambda t: [langs.index(least[t][2] or "") * 32 // len(langs), sources.index(least[t][3]) * 32 // len(sources), int(np.searchsorted(cuts, least[t][4], side="right"))]
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64(F.col("text").cast("binary")).alias("h")).distinct().collect()}
+    order = sorted(groups, key=lambda t: (int(hilbert_shards.hilbert_index(np.array([point(t)]))[0]), hashes[t]))
+    total, at, slot = sum(len(r[1]) + 1 for r in rows), 0, defaultdict(int)
+    for t in order:
+        size = len(groups[t]) * (len(t) + 1)
+        shard = min(15, (2 * at + size) * 16 // (2 * total))
+        for i in sorted(groups[t]):
+            assert (got[i]["shard"], got[i]["slot"], got[i]["group_cut"]) == (shard, slot[shard], False)
+            slot[shard] += 1
+        at += size
+
+
+def test_shard_files_prune_in_every_dimension(spark, tmp_path):
+    """Shards whose ranges of a dimension meet a query, against shards of rows in the order of their ids."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["doc_id"])
+    placed = hilbert_shards.hilbert_shards(docs)
+    hilbert_shards.write_shards(docs, placed, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert {tuple(r) for r in back.select("doc_id", "text", "shard").collect()} == {tuple(r) for r in docs.join(placed, "doc_id").select("doc_id", "text", "shard").collect()}
+    plain = docs.withColumn("shard", (F.percent_rank().over(Window.orderBy("doc_id")) * 15.99).cast("int"))
+
+    def read(rows, column):
+        boxes = rows.groupBy("shard").agg(F.min(column).alias("low"), F.max(column).alias("high")).collect()
+        values = [r[0] for r in docs.select(column).collect()]
+        return sum(b["low"] <= v <= b["high"] for v in values for b in boxes) / len(values)
+
+    for column in ("lang", "source", "n_chars"):
+        assert read(back, column) < 0.8 * read(plain, column), column
+
+
 @pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_piece_ids_equal_whole_texts(spark, name, spaces):
     table = piece_ids(public_tokenizers.path(name), spaces)
@@ -331,9 +418,47 @@ def test_language_is_found(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_grams_of_long_and_joined_texts_agree():
+@pytest.mark.parametrize("size", [1_000_000, 64])
+def test_grams_of_long_and_joined_texts_agree(monkeypatch, size):
     text = "Ein Wort, noch eins! " * 300
-    whole = [np.bincount(b, minlength=language_id.BUCKETS) for b in language_id.grams([text])[0]]
-    joined = language_id.grams(["x y", text, ""])
-    for k, (bucket, owner) in enumerate(zip(*joined, strict=True)):
-        assert (np.bincount(bucket[owner == 1], minlength=language_id.BUCKETS) == whole[k]).all()
+    clean = " ein wort noch eins" * 300 + " "
+    whole = [len(clean) - n + 1 for n in language_id.ORDERS]
+    count = lambda found, who: [sum((owner == who).sum() for k, _, owner in found if k == order) for order in range(3)]
+    counts = lambda found, who: np.stack([sum((np.bincount(b[o == who], minlength=language_id.BUCKETS) for k, b, o in found if k == order), np.zeros(language_id.BUCKETS, int)) for order in range(3)])
+    alone = counts(list(language_id.grams([text])), 0)
+    monkeypatch.setattr(language_id, "SLICE", size)
+    joined = list(language_id.grams(["x y", text, ""]))
+    assert count(joined, 1) == whole
+    assert (counts(joined, 1) == alone).all()
+
+
+def test_language_by_brute_force(spark):
+    """Naive Bayes written out: a dictionary of n-gram counts for each language."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.collect()
+    plain = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()) + " "
+    grams = lambda t: [(n, t[i : i + n]) for n in language_id.ORDERS for i in range(len(t) - n + 1)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts, n_docs = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in rows:
+        if not out(r["doc_id"]) and r["lang"] is not None and r["text"] is not None:
+            n_docs[r["lang"]] += 1
+            for g in grams(plain(r["text"])):
+                counts[r["lang"]][g] += 1
+    size = {(lang, n): sum(c for (m, _), c in found.items() if m == n) for lang, found in counts.items() for n in language_id.ORDERS}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, held_out(F.col("doc_id"), 4, 2)).collect()}
+    same = 0
+    for r in rows:
+        own = grams(plain(r["text"]))
+        joint = {lang: np.log(n_docs[lang] / sum(n_docs.values())) + sum(np.log((counts[lang].get(g, 0) + 0.5) / (size[lang, g[0]] + 0.5 * language_id.BUCKETS)) for g in own) / 3 for lang in n_docs}
+        best = max(joint, key=joint.get)
+        same += got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - 1 / sum(np.exp(v - joint[best]) for v in joint.values())) < 0.02
+    assert same >= 0.99 * len(rows)  # hashing joins a few n-grams
+
+
+def test_too_many_cells_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_CELLS", 3 * language_id.BUCKETS)
+    docs = frame(spark, ["ein wort", "a word"]).withColumn("lang", F.col("source"))
+    with pytest.raises(ValueError, match="fewer buckets"):
+        language_id.fit(docs)
+    assert language_id.fit(docs, buckets=1 << 12).logs.shape == (3 << 12, 2)
