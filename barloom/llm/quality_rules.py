@@ -9,6 +9,7 @@ from barloom.llm.common import let
 
 # Fixed values.
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = "[|»›•·]"
@@ -27,20 +28,38 @@ WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules for one line; a line without words passes."""
-    words, parts = F.regexp_count(line, F.lit(WORD)), F.regexp_count(line, F.lit(SEPARATORS))
-    navigation = (parts >= NAVIGATION_SEPARATORS) & (words <= NAVIGATION_WORDS * (parts + 1))
-    noisy = (words > 0) & (2 * F.regexp_count(line, F.lit(DOUBLED_MARKS)) >= words)
-    unmarked = (words >= UNMARKED_WORDS) & ~line.rlike(SENTENCE_MARKS)
-    boilerplate = (words <= BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE)
-    return navigation | noisy | unmarked | boilerplate
+def judged(line: Column) -> Column:
+    """struct(line, worded, fails): the punctuation, navigation and boilerplate rules for one line, its words counted
+    once; a line without words passes. The cheap tests stand first."""
+    bare = F.btrim(line, F.lit(BLANKS))
+
+    def rules(words: Column) -> Column:
+        parts = F.regexp_count(line, F.lit(SEPARATORS))
+        unmarked = (words >= UNMARKED_WORDS) & ~line.rlike(SENTENCE_MARKS)
+        navigation = (parts >= NAVIGATION_SEPARATORS) & (words <= NAVIGATION_WORDS * (parts + 1))
+        boilerplate = (words <= BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE)
+        noisy = (words > 0) & (2 * F.regexp_count(line, F.lit(DOUBLED_MARKS)) >= words)
+        return F.struct(line.alias("line"), (words > 0).alias("worded"), (unmarked | navigation | boilerplate | noisy).alias("fails"))
+
+    return let(F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE))), rules)
+
+
+def _window_hashes(words: Column) -> Column:
+    """A hash of every run of WINDOW words, a power of two: hashes of runs are joined in pairs, so that each step costs
+    one call a word."""
+
+    def twice(width: int):
+        return lambda h: F.zip_with(h, F.slice(h, width + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while width < WINDOW:
+        hashes, width = let(hashes, twice(width)), 2 * width
+    return F.slice(hashes, F.lit(1), F.size(words) - (WINDOW - 1))
 
 
 def _repeated_words(words: Column) -> Column:
     """Words that lie in a WINDOW-word window found twice or more in the text. The windows' hashes are sorted with their
     places only if one occurs twice; the words covered follow from the gaps between the sorted places."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
 
     def places(s: Column) -> Column:
         twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (F.get(s, k)["h"] == F.get(s, k - 1)["h"]) | (F.get(s, k)["h"] == F.get(s, k + 1)["h"]))
@@ -53,7 +72,7 @@ def _repeated_words(words: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(ordered, places), covered))
 
-    return F.when(F.size(words) < 2, F.lit(0)).when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(hashes, count))
+    return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(_window_hashes(words), count))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -62,13 +81,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Lines that break a rule are dropped; a document is rejected when base_failed, or when the dropped lines hold more
     than LOST_PERCENT of its word characters. clean_text holds the lines left, equal to text if none failed. A null or
-    wordless text has zero counts and fails the base rule; its clean_text is the text. Extra columns stay as they are;
-    columns of the names above are replaced.
+    wordless text has zero counts and fails the base rule; its clean_text is the text. A very long text is judged whole
+    inside its row. An empty table gives an empty result. Extra columns stay as they are; columns of the names above are
+    replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    row = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != "")).withColumn("_lines", lines)
-    row = row.withColumn("_failed", F.filter("_lines", line_fails)).withColumn("_worded", F.filter("_lines", lambda x: x.rlike(WORD)))
+    row = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != "")).withColumn("_lines", F.transform(F.split(text, "\n"), judged))
+    row = row.withColumn("_failed", F.filter("_lines", lambda x: x["fails"])["line"]).withColumn("_worded", F.filter("_lines", lambda x: x["worded"])["line"])
     long = lambda c: c.cast("long")
     found = {
         "n_words": long(F.size("_words")),
@@ -78,7 +97,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         "n_repeat_words": long(_repeated_words(F.col("_words"))),
         "n_lines_failed": long(F.size("_failed")),
         "lost_chars": long(F.length(F.regexp_replace(F.array_join("_failed", ""), SPACE, ""))),
-        "clean_text": F.when(F.size("_failed") == 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n")),
+        "clean_text": F.when(F.size("_failed") == 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda x: ~x["fails"])["line"], "\n")),
     }
     # One generated row: a filter on what follows then uses these values instead of computing them again.
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (*found, "base_failed", "kept")]
