@@ -16,7 +16,8 @@ from barloom.llm.components import connected_components
 BANDS, ROWS = 32, 6  #: a pair of similarity 0.8 shares no band with a chance of 6e-5
 CHECKS, STEP = 128, 32  #: separate hashes for the posterior, a byte of each, compared STEP at a time
 MISS = 1e-6  #: a candidate is pruned when its posterior chance of being similar enough falls below this
-BLOCK = 2048  #: members of a bucket that meet in one cell; a larger bucket is laid out in cells of two blocks each
+BLOCK = 1024  #: members of a bucket that meet in one cell; a larger bucket is laid out in cells of two blocks each
+PARTS, PART_PAIRS = 64, 100_000  #: a leader's text goes once to each part of its members: PARTS, or more for so many pairs each
 MAX_WORDS = 300_000  #: words whose hashes a worker remembers
 _M64 = (1 << 64) - 1
 
@@ -163,16 +164,19 @@ class Cell:
                 yield k, alive.tolist()
 
 
-def _cells(batches):
-    """Rows of a sorted partition, a cell at a time."""
+def _cells(batches, width: int | None = None):
+    """Rows of a sorted partition, a cell at a time; with a width, a row's text gives way to its set of shingles."""
     at, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        texts = batch.column("text") if width else None
+        for k, row in enumerate((batch.drop_columns(["text"]) if width else batch).to_pylist()):
             cell = (row["key"], row["i"], row["j"])
             if cell != at and rows:
                 yield rows
                 rows = []
             at = cell
+            if width:
+                row["set"] = shingle_set(texts[k].as_py(), width)
             rows.append(row)
     if rows:
         yield rows
@@ -199,7 +203,7 @@ def _confirm_cells(width: int, percent: int, limits: list[int]):
     """Links of each cell, on the full sets; components that a link has joined are not compared again."""
 
     def run(batches):
-        for rows in _cells(batches):
+        for rows in _cells(batches, width):
             root: dict[int, int] = {}
 
             def find(x: int, root=root) -> int:
@@ -207,12 +211,11 @@ def _confirm_cells(width: int, percent: int, limits: list[int]):
                     x = root[x]
                 return x
 
-            sets = [shingle_set(r["text"], width) for r in rows]
             links = []
             for k, others in Cell(rows, limits).pairs():
                 for o in others:
                     x, y = find(rows[k]["component"]), find(rows[o]["component"])
-                    if x != y and similar(sets[k], sets[o], percent):
+                    if x != y and similar(rows[k]["set"], rows[o]["set"], percent):
                         root[max(x, y)] = min(x, y)
                         links.append((rows[k]["rep"], rows[o]["rep"]))
             if links:
@@ -230,15 +233,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(width: int, percent: int):
+    """Members of sorted stars that are similar to their leader, whose row (b null) stands first."""
+
     def run(batches):
-        last, own = None, None
+        at, leaders = None, []
         for batch in batches:
-            a, ta, b, tb = (batch.column(c).to_pylist() for c in ("a", "ta", "b", "tb"))
             keep = []
-            for i in range(len(a)):
-                if (a[i], ta[i]) != last:
-                    last, own = (a[i], ta[i]), shingle_set(ta[i], width)
-                if similar(own, shingle_set(tb[i], width), percent):
+            for i, (a, part, b, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "text")), strict=True)):
+                if (a, part) != at:
+                    at, leaders = (a, part), []
+                own = shingle_set(text, width)
+                if b is None:
+                    leaders.append(own)
+                elif any(similar(leader, own, percent) for leader in leaders):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -253,8 +260,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     smallest node; what this leaves in several components is then compared across components inside the buckets, block
     by block, so that no link between components is lost to a cap and no pairs leave a task but links.
 
-    Null or wordless texts have no shingles and no links (n_shingles 0, kept). Rows that share a doc_id count as one
-    document. A null doc_id links with nothing: component_id null, kept. Ties need no rule: the smallest id stands for
+    Null or wordless texts have no shingles and no links (n_shingles 0, kept). A very long text is read whole; a task
+    holds the hashed sets of one cell, 2 * BLOCK at most, and no texts. Rows that share a doc_id count as one document. A null doc_id links with nothing: component_id null, kept. Ties need no rule: the smallest id stands for
     a component. An empty table gives an empty result; extra columns are not read. The chance that a pair at the
     threshold shares no band is (1 - t^ROWS)^BANDS, pruning adds at most about MISS.
     """
@@ -303,11 +310,16 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with a leader a that are similar on the full sets. A star's members are dealt to parts, and each part
+    gets the leader's text once."""
     pairs = cut(pairs, "pairs")
+    parts = max(PARTS, -(-pairs.count() // PART_PAIRS))
     texts = _texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), texts)
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "ta", "b", "tb").mapInArrow(_confirm(width, percent), "a long, b long").distinct()
+    stars = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("part"), "b")
+    leaders = stars.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    members = stars.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
+    dealt = leaders.union(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(_confirm(width, percent), "a long, b long").distinct()
 
 
 def _by_cell(rows: DataFrame) -> DataFrame:

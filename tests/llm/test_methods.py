@@ -67,8 +67,7 @@ def test_dedup_finds_all_components(spark, width):
 
 def test_dedup_lays_large_buckets_out_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
-    monkeypatch.setattr(minhash_dedup, "TILE", 3)
-    monkeypatch.setattr(minhash_dedup, "STAR", 4)
+    monkeypatch.setattr(minhash_dedup, "PARTS", 3)
     texts = variants(60, 11, edits=14)
     found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame(spark, texts), 4).collect()}
     assert [found[i] for i in range(len(texts))] == brute_components(texts, 4)
