@@ -1 +1 @@
-
+"""Functions over bars that a request names with parameters."""

@@ -31,7 +31,6 @@ TEXTS = {
     "b12_exposure": "SELECT coalesce(sector, 'ALL') AS sector, coalesce(strategy, 'ALL') AS strategy, round(sum(weight), 9) AS gross, count(*) AS n FROM {positions} GROUP BY CUBE (sector, strategy)",
     "b13_constraint_violations": "SELECT kind, name, round(weight, 9) AS weight FROM (SELECT 'sector' AS kind, sector AS name, sum(weight) AS weight FROM {positions} GROUP BY sector UNION ALL SELECT 'strategy', strategy, sum(weight) FROM {positions} GROUP BY strategy) q WHERE weight > 0.25",
     "b14_correlation_pairs": f"SELECT a, b, n, round(c, 6) AS correlation FROM ({_PAIRS}) q WHERE n >= 30 AND c IS NOT NULL",
-    "b16_risk_contribution": f"SELECT p.symbol, round(sum(p.weight * o.weight * q.v), 12) AS contribution FROM ({_PAIRS}) q JOIN ({_STAKES}) p ON p.symbol = q.a JOIN ({_STAKES}) o ON o.symbol = q.b GROUP BY p.symbol",
     "b17_diversification": f"SELECT round(sum(weight * weight), 9) AS hhi, round(1 / nullif(sum(weight * weight), 0), 4) AS effective_n, count(DISTINCT sector) AS sectors FROM ({_STAKES}) q",
     "b18_turnover": f"SELECT coalesce(a.symbol, b.symbol) AS symbol, round(coalesce(b.w, 0) - coalesce(a.w, 0), 9) AS delta, CASE WHEN coalesce(b.w, 0) - coalesce(a.w, 0) > 0.0005 THEN 'BUY' WHEN coalesce(b.w, 0) - coalesce(a.w, 0) < -0.0005 THEN 'SELL' ELSE 'HOLD' END AS action FROM (SELECT symbol, weight AS w FROM ({_STAKES}) x) a FULL OUTER JOIN (SELECT symbol, greatest(mean_r, 0) / nullif(sum(greatest(mean_r, 0)) OVER (), 0) AS w FROM ({_SYMBOLS}) y) b ON a.symbol = b.symbol",
     "b19_basket_curve": f"SELECT x.ts, round(sum(p.weight * x.r) / nullif(sum(p.weight), 0), 9) AS basket_return FROM {{returns}} x JOIN ({_STAKES}) p ON x.symbol = p.symbol GROUP BY x.ts",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.operators import calibration, crosssection, learning, performance, tabular
+from barloom.functions import indicators as requests
+from barloom.operators import alignment, calibration, cleaning, crosssection, evidence, learning, performance, tabular
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.retrieval import QUERIES as JOBS
 from barloom.operators.patterns import PATTERNS, WINDOWED
@@ -11,8 +12,8 @@ from barloom.plans.layers import Plan
 from barloom.sources.bars import BARS
 from barloom.streaming import queries as streaming
 
-#: Decimals that floating columns are compared at; sums of large amounts keep fewer.
-DIGITS, LARGE_DIGITS = 4, 1
+#: Decimals of floating columns: enough for any use, few enough that the noise of sums does not show.
+DIGITS, LARGE_DIGITS = 9, 6
 LARGE = {"adl", "pvt", "force_index", "force_index_ema", "chaikin_osc", "kvo", "kvo_signal", "kvo_hist", "turnover_try", "turnover_try_sma", "eom_millions", "eom_sma_millions", "liquidity_turnover_sma", "avg_turnover", "max_notional"}
 #: Columns that are not floating.
 EXACT = {
@@ -27,6 +28,7 @@ for _name, (_layers, _out) in (INDICATORS | SMOOTHED | PATTERNS | WINDOWED).item
     _digits = {c: LARGE_DIGITS if c in LARGE else DIGITS for c in _columns if c not in EXACT}
     PLANS[_name] = Plan(BARS, tuple(_layers)).returning("symbol", "ts", *_out, **_digits)
 PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMENTS | tabular.STATEMENTS
+PLANS |= alignment.STATEMENTS | evidence.STATEMENTS | cleaning.STATEMENTS
 
-QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | learning.QUERIES | streaming.QUERIES
-ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o} | streaming.ORACLES
+QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | learning.QUERIES | streaming.QUERIES | requests.QUERIES
+ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o} | streaming.ORACLES | requests.ORACLES

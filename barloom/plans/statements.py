@@ -28,18 +28,19 @@ def _split(columns: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Statement:
-    """text names its sources as {name}; `spark` and `other` replace text in one dialect alone."""
+    """text names its sources as {name}; `other` replaces text in the checking dialect, `oracle` is a statement of its own."""
 
     text: str
     sources: dict[str, Source]
     other: dict[str, str] = field(default_factory=dict)
+    oracle: str = ""
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         used = {n: s.frame(spark, sf_dir) for n, s in self.sources.items() if f"{{{n}}}" in self.text}
         return spark.sql(spark_text(self.text), **used)
 
     def sql(self) -> str:
-        text = duck_text(self.text)
+        text = self.oracle or duck_text(self.text)
         for a, b in self.other.items():
             text = text.replace(a, b)
         return re.sub(r"\{(\w+)\}", lambda m: f"({self.sources[m[1]].sql})", text)
