@@ -15,7 +15,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
-TABLE_BYTES = 80_000_000  #: texts and ids that a worker remembers; the table starts anew beyond that
+TABLE_BYTES = 64_000_000  #: memory of the pieces that a worker remembers; the table starts anew beyond that
+PIECE_BYTES = 200  #: of a remembered piece beside its text and ids
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:*#$%&|"
 _CLASSED_APART = re.compile("[\x1c-\x1f]")
 _SPACED = re.compile(rf"\s*+[{_LETTERS}]++(?=[\s{_MARKS}]|\Z)|[{_MARKS}]++(?=\s|\Z)|\s*\S+|\s+")
@@ -45,7 +46,7 @@ class PieceIds(dict):
         else:
             found = self.library.encode(piece, add_special_tokens=False).ids
         self[piece] = ids = array("I", found).tobytes()
-        self.held += len(piece) + len(ids)
+        self.held += PIECE_BYTES + len(piece) + len(ids)
         return ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
