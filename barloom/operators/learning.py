@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.retrieval import bm25_scores, embedding_scores, query_terms
-from barloom.plans.layers import Plan, lag, lead, roll
+from barloom.plans.layers import Plan, clip, lag, lead, roll
 from barloom.sources.bars import BARS, read
 from barloom.sources.files import checksum
 from barloom.sources.tables import OUTCOMES, RETURNS
@@ -24,8 +24,8 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features at the close, the label ahead, and the part by time: symbol, ts, FEATURES, label, part. Returns are
     clipped, as the proxy prices jump; the label is the only column that looks ahead."""
     plan = Plan(BARS, (
-        {"ret_1": f"least(greatest(close / nullif({lag('close')}, 0) - 1, -1), 1)", "ret_5": f"least(greatest(close / nullif({lag('close', 5)}, 0) - 1, -1), 1)", "m": roll("avg", "close", 20), "v": roll("avg", "volume", 20), "ahead": f"{lead('close', 1)} / nullif(close, 0) - 1"},
-        {"distance": "least(greatest(close / nullif(m, 0) - 1, -1), 1)", "volume_ratio": "volume / nullif(v, 0)", "label": "CASE WHEN ahead > 0 THEN 1.0 WHEN ahead IS NOT NULL THEN 0.0 END", "part": f"CASE WHEN ts < DATE '{CUT}' THEN 'train' ELSE 'test' END"},
+        {"ret_1": clip(f"close / nullif({lag('close')}, 0) - 1", -1, 1), "ret_5": clip(f"close / nullif({lag('close', 5)}, 0) - 1", -1, 1), "m": roll("avg", "close", 20), "v": roll("avg", "volume", 20), "ahead": f"{lead('close', 1)} / nullif(close, 0) - 1"},
+        {"distance": clip("close / nullif(m, 0) - 1", -1, 1), "volume_ratio": "volume / nullif(v, 0)", "label": "CASE WHEN ahead > 0 THEN 1.0 WHEN ahead IS NOT NULL THEN 0.0 END", "part": f"CASE WHEN ts < DATE '{CUT}' THEN 'train' ELSE 'test' END"},
     ))
     return plan.frame(spark, sf_dir).where("label is not null").select("symbol", "ts", *FEATURES, "label", "part")
 
@@ -40,7 +40,7 @@ def fitted(train: DataFrame):
 
 
 def m01_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_table(spark, sf_dir).groupBy("part", "label").agg(F.count("*").alias("n"), F.count_if(F.col("distance").isNull()).alias("missing"))
+    return training_table(spark, sf_dir).groupBy("part", F.col("label").cast("double").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("distance").isNull()).alias("missing"))
 
 
 def m06_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,34 @@ def m06_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows.where("part = 'test'")).select("symbol", "ts", "label", F.round(vector_to_array("probability")[1], 6).alias("score"))
 
 
+def aligned(df: DataFrame, features: list[str], keys: tuple[str, ...] = (), extra: bool = True, missing: bool = False) -> DataFrame:
+    """The keys and then exactly the model's features, in its order and as doubles. Columns that the model does not know go,
+    or are refused without `extra`; features that the table lacks are refused, or null with `missing`."""
+    if not features or len(set(features)) < len(features):
+        raise ValueError(f"features must be some and distinct: {features}")
+    lacking, more = [c for c in features if c not in df.columns], sorted(set(df.columns) - {*features, *keys})
+    if lacking and not missing:
+        raise ValueError(f"features that the table lacks: {lacking}")
+    if more and not extra:
+        raise ValueError(f"columns that the model does not know: {more}")
+    return df.select(*keys, *((F.lit(None) if c in lacking else F.col(f"`{c}`").try_cast("double")).cast("double").alias(c) for c in features))
+
+
+def inferred(model, df: DataFrame, features: list[str], keys: tuple[str, ...], **rules) -> DataFrame:
+    """keys, prediction, score and the number of features that were null and so filled as in training."""
+    scored = model.transform(aligned(df, features, keys, **rules))
+    holes = sum((F.col(c).isNull().cast("int") for c in features), F.lit(0))
+    return scored.select(*keys, F.col("prediction").cast("int").alias("prediction"), F.round(vector_to_array("probability")[1], 6).alias("score"), holes.alias("filled"))
+
+
+def m08_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows behind the cut scored from a table with text instead of numbers, another order and a column too many."""
+    rows = training_table(spark, sf_dir)
+    model = fitted(rows.where("part = 'train'"))
+    foreign = rows.where("part = 'test'").select("symbol", "ts", "part", *(F.col(c).cast("string").alias(c) for c in reversed(FEATURES)))
+    return inferred(model, foreign, FEATURES, ("symbol", "ts"))
+
+
 def m09_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of accuracy when a feature's values are moved to the row that follows in hash order, within a symbol."""
     rows = training_table(spark, sf_dir)
@@ -66,7 +94,7 @@ def b25_bootstrap(spark: SparkSession, sf_dir: str, simulations: int = 50, steps
     """Interval of the mean return of each symbol by a block bootstrap. The draw of a step is a hash of seed, symbol,
     simulation and block, so a task that runs again draws the same."""
     w = W.partitionBy("symbol").orderBy("ts")
-    rows = RETURNS.frame(spark, sf_dir).select("symbol", F.least(F.greatest("r", F.lit(-0.5)), F.lit(0.5)).alias("r"), (F.row_number().over(w) - 1).alias("k"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
+    rows = RETURNS.frame(spark, sf_dir).select("symbol", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.lit(-0.5)), F.lit(0.5))).alias("r"), (F.row_number().over(w) - 1).alias("k"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
     sizes = rows.groupBy("symbol").agg(F.max("n").alias("n"))
     grid = sizes.select("symbol", "n", F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim")).select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     drawn = grid.withColumn("k", F.pmod(F.pmod(F.xxhash64(F.lit(7), "symbol", "sim", F.floor(F.col("step") / block)), "n") + F.col("step") % block, "n").cast("int"))
@@ -125,4 +153,12 @@ def s14_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksum(read(spark, sf_dir, "orders"))
 
 
-QUERIES = {f.__name__: f for f in (m01_dataset, m06_scored, m09_permutation, b25_bootstrap, c03_merged_bins, x04_first_exit, f07_hybrid_search, f12_f13_entities, s14_checksum)}
+QUERIES = {f.__name__: f for f in (m01_dataset, m06_scored, m08_batch_inference, m09_permutation, b25_bootstrap, c03_merged_bins, x04_first_exit, f07_hybrid_search, f12_f13_entities, s14_checksum)}
+
+# Written apart from the queries: joins on a bar's number and recursion in place of windows and folds.
+_HIT = "b.close / nullif(a.close, 0) - 1"
+ORACLES = {
+    "m01_dataset": f"WITH b AS (SELECT ts, close, row_number() OVER w AS k, lead(close) OVER w AS following FROM ({BARS.sql}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT CASE WHEN ts < DATE '{CUT}' THEN 'train' ELSE 'test' END AS part, CAST(following > close AS INT)::DOUBLE AS label, count(*) AS n, count(*) FILTER (k < 20) AS missing FROM b WHERE following IS NOT NULL AND close <> 0 GROUP BY ALL",
+    "c03_merged_bins": f"WITH RECURSIVE h AS (SELECT strategy, CAST(least(floor(score / 10), 9) AS INT) AS bin, count(*) AS n, sum(hit) AS hits FROM ({OUTCOMES.sql}) GROUP BY ALL), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY bin) AS k FROM h), r AS (SELECT strategy, k, 1 AS g, n AS held FROM o WHERE k = 1 UNION ALL SELECT o.strategy, o.k, CASE WHEN r.held < 60 THEN r.g ELSE r.g + 1 END, CASE WHEN r.held < 60 THEN r.held + o.n ELSE o.n END FROM r JOIN o ON o.strategy = r.strategy AND o.k = r.k + 1), e AS (SELECT strategy, g, min(bin) AS low, max(bin) AS high, sum(n) AS n, sum(hits) AS hits, max(g) OVER (PARTITION BY strategy) AS top FROM o JOIN r USING (strategy, k) GROUP BY strategy, g) SELECT strategy, min(low) AS low, max(high) AS high, CAST(sum(n) AS BIGINT) AS n, round(sum(hits) / sum(n), 6) AS rate FROM e GROUP BY strategy, CASE WHEN g = top AND g > 1 AND n < 60 THEN g - 1 ELSE g END",
+    "x04_first_exit": f"WITH b AS MATERIALIZED (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM ({BARS.sql})), s AS (SELECT symbol, close, k, unnest(range(1, 21)) AS held FROM b), h AS (SELECT a.symbol, a.k, a.held, CASE WHEN {_HIT} >= 0.1 THEN 'TARGET' WHEN {_HIT} <= -0.1 THEN 'STOP' WHEN a.held = 20 THEN 'TIME' END AS rule FROM s a JOIN b ON b.symbol = a.symbol AND b.k = a.k + a.held) SELECT symbol, CAST(k AS INT) AS k0, arg_min(rule, held) AS rule, CAST(min(held) AS INT) AS bars_held FROM h WHERE rule IS NOT NULL GROUP BY symbol, k",
+}

@@ -57,7 +57,7 @@ TEXTS = {
     "wx1_statement_trends": "SELECT symbol, period, round(revenue / nullif(lag(revenue) OVER (PARTITION BY symbol ORDER BY period), 0) - 1, 6) AS qoq, round(sum(revenue) OVER (PARTITION BY symbol ORDER BY period ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 2) AS ttm FROM {statements}",
     "wl3_filled_features": f"SELECT symbol, ts, last_value(x) IGNORE NULLS {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM (SELECT symbol, ts, CASE WHEN volume >= 60 THEN close END AS x FROM {{bars}}) q",
     # Learning tables.
-    "m03_winsorised": "SELECT x.symbol, x.ts, round(least(greatest(x.r, q.low), q.high), 6) AS r FROM {returns} x CROSS JOIN (SELECT exact_percentile(r, 0.01) AS low, exact_percentile(r, 0.99) AS high FROM {returns} WHERE ts < DATE '1999-01-01') q",
+    "m03_winsorised": "SELECT x.symbol, x.ts, CASE WHEN x.r IS NOT NULL THEN round(least(greatest(x.r, q.low), q.high), 6) END AS r FROM {returns} x CROSS JOIN (SELECT exact_percentile(r, 0.01) AS low, exact_percentile(r, 0.99) AS high FROM {returns} WHERE ts < DATE '1999-01-01') q",
     "m05_purged_folds": "SELECT fold, count_if(day < lo - 5 OR day > hi + 5) AS train_rows, count_if(day BETWEEN lo AND hi) AS test_rows FROM (SELECT f.fold, day_number(r.ts) AS day, 9131 + f.fold * 500 AS lo, 9131 + f.fold * 500 + 499 AS hi FROM {returns} r CROSS JOIN (VALUES (0), (1), (2), (3)) AS f(fold)) q GROUP BY fold",
     "m11_features_as_of": "SELECT symbol, max_by(close, ts) AS close, max_by(ma_20, ts) AS ma_20, max(ts) AS feature_ts FROM {breadth} WHERE ts <= DATE '2000-01-01' GROUP BY symbol",
     # Text.

@@ -79,6 +79,45 @@ def latest_records(spark: SparkSession, folder: str, schema: str, by: str, n: in
     return spark.read.schema(schema).json(folder).orderBy(F.desc(by)).limit(n)
 
 
+#: Columns of imported records by kind: (schema, key of a record, columns that must be there).
+IMPORTS = {
+    "corporate_actions": ("action_id string, symbol string, action_type string, status string, effective_date date, cash_amount double, ratio double", ("symbol", "action_type", "effective_date"), ("symbol", "effective_date")),
+    "events": ("event_id string, symbol string, event_type string, title string, event_date date", ("symbol", "event_type", "event_date"), ("event_type", "event_date")),
+    "instruments": ("symbol string, name string, sector string, market string, status string", ("symbol",), ("symbol",)),
+}
+
+
+def read_records(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(records, refused) of a CSV or JSON file, or of a folder of one of them. Values that do not fit their type or lack a
+    required column are refused with their text; of records with one key the first by all columns stays."""
+    schema, key, needed = IMPORTS[kind]
+    fields = spark.createDataFrame([], schema).schema
+    ending = path.rstrip("/").lower()
+    lines = spark.read.option("pathGlobFilter", "*.json*" if ending.endswith(("json", "jsonl")) else "*")
+    raw = ", ".join(f"{f.name} string" for f in fields)
+    rows = lines.schema(raw).json(path, multiLine=ending.endswith(".json")) if ending.endswith((".json", ".jsonl")) else lines.schema(raw).csv(path, header=True, enforceSchema=False)
+    typed = {f.name: F.upper(F.trim(f.name)) if f.name in ("symbol", "status", "action_type", "event_type") else F.col(f.name).try_cast(f.dataType) for f in fields}
+    broken = [F.when((F.trim(f.name) != "") & typed[f.name].isNull(), F.lit(f.name)) for f in fields] + [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in needed]
+    judged = rows.withColumn("faults", F.array_distinct(F.array_compact(F.array(*broken))))
+    good = judged.where(F.size("faults") == 0).select(*(e.alias(c) for c, e in typed.items()))
+    first = good.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.min(F.struct(*good.columns)).alias("r"))
+    return first.select("r.*"), judged.where(F.size("faults") > 0)
+
+
+def write_dataset(rows: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet",), part: str = "part") -> dict[str, str]:
+    """A data set in each format, one folder for each value of `part` (train, test), and its schema as one JSON record.
+    An empty data set is refused. Returns the places written."""
+    if not rows.take(1):
+        raise ValueError("an empty data set is not written")
+    places = {kind: f"{folder}/dataset.{kind}" for kind in formats}
+    for kind, place in places.items():
+        options = {"header": True} if kind == "csv" else {}
+        rows.write.mode("overwrite").partitionBy(part).format(kind).options(**options).save(place)
+    described = rows.sparkSession.createDataFrame([(c, t, c == part) for c, t in rows.dtypes], "column string, type string, is_part boolean")
+    described.coalesce(1).write.mode("overwrite").json(f"{folder}/schema")
+    return places | {"schema": f"{folder}/schema"}
+
+
 def checksum(df: DataFrame) -> DataFrame:
     """One row: count and an order-free checksum of all columns."""
     h = F.xxhash64(*df.columns)

@@ -24,4 +24,5 @@ QUERIES = {f.__name__: f for f in (x06_event_bars, x06_activity_sessions, x01_al
 ORACLES = {
     "x06_event_bars": "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2",
     "x06_activity_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n, max(value) AS top FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events) f) g GROUP BY user_id, run",
+    "x01_alerts": "WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id) AS k FROM events WHERE value >= 50), r AS (SELECT user_id, k, ts, value, 'FIRST' AS reason, ts AS told_ts, value AS told_value FROM e WHERE k = 1 UNION ALL SELECT user_id, k, ts, value, reason, CASE WHEN reason IS NULL THEN told_ts ELSE ts END, CASE WHEN reason IS NULL THEN told_value ELSE value END FROM (SELECT e.*, told_ts, told_value, CASE WHEN e.ts >= told_ts + INTERVAL 12 HOUR THEN 'COOLDOWN_OVER' WHEN e.value - told_value >= 30 THEN 'CHANGE' END AS reason FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) s) SELECT user_id, ts::TIMESTAMP AS ts, value, reason FROM r WHERE reason IS NOT NULL",
 }
