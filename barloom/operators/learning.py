@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.operators.retrieval import bm25_scores, embedding_scores, query_terms
 from barloom.plans.layers import Plan, clip, lag, lead, roll
 from barloom.sources.bars import BARS, read
 from barloom.sources.files import checksum
@@ -129,18 +128,6 @@ def x04_first_exit(spark: SparkSession, sf_dir: str, target: float = 0.1, stop:
     return rows.select("symbol", "k0", found.alias("x")).where("x is not null").select("symbol", "k0", "x.rule", "x.bars_held")
 
 
-def f07_hybrid_search(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
-    """0.6 of the BM25 and 0.4 of the embedding score, each by its best of the item, over the union of both whole lists."""
-    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    a, b = bm25_scores(docs, query_terms(items)).withColumnRenamed("score", "a"), embedding_scores(docs, items).withColumnRenamed("score", "b")
-    both = a.join(b, ["item_id", "doc_id"], "full_outer")
-    best = both.groupBy("item_id").agg(F.max("a").alias("best_a"), F.max("b").alias("best_b"))
-    part = lambda x: F.coalesce(F.try_divide(x, f"best_{x}"), F.lit(0.0))
-    score, both = F.round(0.6 * part("a") + 0.4 * part("b"), 6), both.join(best, "item_id")
-    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return both.select("item_id", "doc_id", score.alias("score")).withColumn("place", place).where(F.col("place") <= top)
-
-
 def f12_f13_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts of the form mailN and versions found in texts, with the number of documents that hold them: a small part of
     F12 and F13. Dates, events and links to instruments are open."""
@@ -153,7 +140,7 @@ def s14_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksum(read(spark, sf_dir, "orders"))
 
 
-QUERIES = {f.__name__: f for f in (m01_dataset, m06_scored, m08_batch_inference, m09_permutation, b25_bootstrap, c03_merged_bins, x04_first_exit, f07_hybrid_search, f12_f13_entities, s14_checksum)}
+QUERIES = {f.__name__: f for f in (m01_dataset, m06_scored, m08_batch_inference, m09_permutation, b25_bootstrap, c03_merged_bins, x04_first_exit, f12_f13_entities, s14_checksum)}
 
 # Written apart from the queries: joins on a bar's number and recursion in place of windows and folds.
 _HIT = "b.close / nullif(a.close, 0) - 1"

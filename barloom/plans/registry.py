@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barloom.functions import indicators as requests
-from barloom.operators import alignment, calibration, cleaning, clusters, crosssection, evidence, learning, performance, tabular
+from barloom.operators import alignment, calibration, cleaning, clusters, crosssection, evidence, hybrid, learning, performance, tabular
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.retrieval import QUERIES as JOBS
 from barloom.operators.patterns import PATTERNS, WINDOWED
@@ -30,5 +30,5 @@ for _name, (_layers, _out) in (INDICATORS | SMOOTHED | PATTERNS | WINDOWED).item
 PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMENTS | tabular.STATEMENTS
 PLANS |= alignment.STATEMENTS | evidence.STATEMENTS | cleaning.STATEMENTS
 
-QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | learning.QUERIES | clusters.QUERIES | streaming.QUERIES | requests.QUERIES
-ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o} | learning.ORACLES | clusters.ORACLES | streaming.ORACLES | requests.ORACLES
+QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | learning.QUERIES | hybrid.QUERIES | clusters.QUERIES | streaming.QUERIES | requests.QUERIES
+ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o} | learning.ORACLES | hybrid.ORACLES | clusters.ORACLES | streaming.ORACLES | requests.ORACLES

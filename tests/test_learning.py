@@ -7,7 +7,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from barloom.operators import learning
+from barloom.operators import hybrid, learning
 from barloom.sources.bars import BARS
 
 from .conftest import SMALL
@@ -47,7 +47,7 @@ def test_hybrid_search_cuts_neither_list(spark, tmp_path):
         return [round(x / norm, 6) if norm else 0.0 for x in v]
 
     got = defaultdict(dict)
-    for r in learning.f07_hybrid_search(spark, str(tmp_path)).collect():
+    for r in hybrid.f07_hybrid_search(spark, str(tmp_path)).collect():
         got[r["item_id"]][r["place"]] = r["score"]
     for item, terms in items.items():
         a = {i: sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, n in Counter(w).items() if t in terms) for i, w in docs.items()}
