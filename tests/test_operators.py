@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import calibration, crosssection, tabular
+from barloom.operators import alignment
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.recursive import ewm, scan, supertrend_step
 from barloom.plans.layers import Plan, Source
@@ -98,7 +98,7 @@ def test_stream_equals_table(spark, tmp_path, job):
         assert spark.table(f"q_{job.__name__}").count() == len(table)
 
 
-@pytest.mark.parametrize(("statements", "name", "column", "want"), [(crosssection.STATEMENTS, "t07_newest_by_fingerprint", "signal_id", 1_000_001), (tabular.STATEMENTS, "j04_status_as_of", "status", "P"), (tabular.STATEMENTS, "x03_lifecycle_state", "state", "P")])
+@pytest.mark.parametrize(("statements", "name", "column", "want"), [(alignment.STATEMENTS, "t07_newest_by_fingerprint", "signal_id", 1_000_001), (alignment.STATEMENTS, "j04_status_as_of", "status", "P"), (alignment.STATEMENTS, "x03_lifecycle_state", "state", "P")])
 def test_newest_record_over_a_million_ids(spark, statements, name, column, want):
     day = dt.date(1998, 5, 1)
     df = spark.createDataFrame([(999_999, 7, "A", "F", day), (1_000_001, 7, "A", "P", day), (1, 7, "A", "O", day)], "signal_id long, symbol long, strategy string, state string, ts date")
@@ -108,7 +108,7 @@ def test_newest_record_over_a_million_ids(spark, statements, name, column, want)
 
 def test_regime_filter_rejects(spark):
     df = spark.createDataFrame([(1, dt.date(2024, 1, i), c, 100.0) for i, c in ((1, 70.0), (2, 90.0), (3, 110.0))], "symbol long, ts date, close double, ma_50 double")
-    rows = Statement(calibration.STATEMENTS["e06_regime_filter"].text, {"breadth": Source(lambda s, d: df, "")}).frame(spark, "").orderBy("ts").collect()
+    rows = Statement(alignment.STATEMENTS["e06_regime_filter"].text, {"breadth": Source(lambda s, d: df, "")}).frame(spark, "").orderBy("ts").collect()
     assert [r["decision"] for r in rows] == ["REJECT", "REDUCE", "PASS"]
 
 
