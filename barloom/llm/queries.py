@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hilbert_shards, language_id, license_scan, packing, quality_model, token_files, toxicity
+from barloom.llm import decontaminate, hilbert_shards, language_id, license_scan, merkle_manifest, packing, quality_model, spelling_variants, substring_dedup, token_files, toxicity
 from barloom.llm import quality_rules as rules
 from barloom.llm.common import documents, held_out
 from barloom.llm.minhash_dedup import near_duplicates
@@ -152,11 +152,111 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2))
 
 
+#: crc32 in SQL: the table of a byte's remainders, and the fold over the bytes of a text in hexadecimal.
+CRC_TABLE = """steps(b, k, c) AS (
+  SELECT b::BIGINT, 0, b::BIGINT FROM range(256) r(b) UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """SQL of crc32(text), in a statement that reads `crc`."""
+    digit = lambda at: f"(instr('0123456789ABCDEF', hex({text})[{at}]) - 1)"
+    given = f"list_prepend(4294967295::BIGINT, list_transform(range(1, len(hex({text})), 2), lambda i: ({digit('i')} * 16 + {digit('i + 1')})::BIGINT))"
+    return f"xor(list_reduce({given}, lambda a, b: xor(a >> 8, crc.t[xor(a, b) % 256 + 1])), 4294967295)"
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(spelling_variants.word_counts(documents(spark, sf_dir), slip=97))
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+per_doc AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE len(w) >= 5 GROUP BY doc_id, w),
+hashed AS (SELECT w, k, {_crc("concat(coalesce(doc_id::VARCHAR, 'null'), ':', w)")} AS h FROM per_doc, crc),
+slipped AS (SELECT CASE WHEN h % 97 = 0 THEN w[:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word, k FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM slipped WHERE len(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cuts AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, form, word AS root FROM formed UNION ALL SELECT w.word, f.form, f.word FROM walk w JOIN formed f ON w.form = f.word)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.root FROM formed f JOIN walk w ON f.word = w.word AND w.form IS NULL
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", LETTERS, LETTERS.lower())
+    fields = {c: F.col(c) for c in merkle_manifest.FIELDS} | {"text": lowered}
+    tampered = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0, merkle_manifest.leaf_of(fields))
+    rows = merkle_manifest.merkle_manifest(documents(spark, sf_dir), {"tampered": tampered})
+    rows = rows.withColumns({"proof_sha256": merkle_manifest.proof_digest(F.col("path")), "folded_root": merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("path"))})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_FIELD = lambda v: f"coalesce(concat(strlen({v}), ':', {v}), '-')"
+_LEAF = lambda text: f"sha256(concat({', '.join(_FIELD(v) for v in ('doc_id::VARCHAR', 'source', 'lang', 'n_chars::VARCHAR', text))}))"
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF("text")} AS leaf,
+    CASE WHEN {_crc("doc_id::VARCHAR")} % 3 = 0 THEN {_LEAF(f"translate(text, '{LETTERS}', '{LETTERS.lower()}')")} ELSE {_LEAF("text")} END AS given FROM documents, crc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+levels(tree, k, i, h) AS (
+  SELECT tree, 0, i, leaf FROM ranked UNION ALL
+  SELECT tree, k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM levels) WHERE nodes > 1 GROUP BY tree, k, i // 8),
+tops AS (SELECT tree, arg_max(h, k) AS subroot, max(k) AS top FROM levels GROUP BY tree),
+over_ranked AS (SELECT tree AS of_tree, row_number() OVER (ORDER BY tree) - 1 AS i, subroot FROM tops),
+over_levels(k, i, h) AS (
+  SELECT 0, i, subroot FROM over_ranked UNION ALL
+  SELECT k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS nodes FROM over_levels) WHERE nodes > 1 GROUP BY k, i // 8),
+over_top AS (SELECT arg_max(h, k) AS root, max(k) AS top FROM over_levels),
+nodes AS (SELECT tree, k, i, h FROM levels UNION ALL SELECT '^', k, i, h FROM over_levels),
+flanks AS (
+  SELECT a.tree, a.k, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.k = b.k AND a.i // 8 = b.i // 8 GROUP BY a.tree, a.k, a.i),
+climb(doc_id, tree, leaf, i, k, proof, f) AS (
+  SELECT doc_id, tree, leaf, i, 0, '', given FROM ranked UNION ALL
+  SELECT c.doc_id, c.tree, c.leaf, c.i // 8, c.k + 1, c.proof || x.l || x.r, sha256(x.l || c.f || x.r)
+  FROM climb c JOIN tops t ON c.tree = t.tree JOIN flanks x ON x.tree = c.tree AND x.k = c.k AND x.i = c.i WHERE c.k < t.top),
+over_climb(doc_id, tree, leaf, i, k, proof, f) AS (
+  SELECT c.doc_id, c.tree, c.leaf, o.i, 0, c.proof, c.f FROM climb c JOIN tops t ON c.tree = t.tree AND c.k = t.top JOIN over_ranked o ON o.of_tree = c.tree UNION ALL
+  SELECT c.doc_id, c.tree, c.leaf, c.i // 8, c.k + 1, c.proof || x.l || x.r, sha256(x.l || c.f || x.r)
+  FROM over_climb c, over_top t, flanks x WHERE x.tree = '^' AND x.k = c.k AND x.i = c.i AND c.k < t.top)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM over_climb c JOIN tops USING (tree), over_top o WHERE c.k = o.top
+"""
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {substring_dedup.WINDOW - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) AS i FROM words)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first FROM windows) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring_dedup.WINDOW})) AS i FROM later),
+spots AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+kept AS (SELECT s.doc_id, string_agg(s.word, ' ' ORDER BY s.i) AS t, count(*) AS n FROM spots s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM words d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_quality_rules, op3_toxicity, op4_quality_model, op5_license_scan,
         op6_decontamination, op7_hilbert_shards, op8_token_files, op9_best_fit_packing, op10_language_id,
+        op11_spelling_variants, op12_merkle_manifest, op13_substring_dedup,
     )
 }
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_license_scan": OP5_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {
+    "op1_minhash_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_license_scan": OP5_SQL, "op6_decontamination": OP6_SQL,
+    "op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_substring_dedup": OP13_SQL,
+}
