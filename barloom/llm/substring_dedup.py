@@ -5,6 +5,9 @@ groups of bounded size, and what remains is one bit for each cell: met twice or
 into it, so it never says once of a window that was met twice, and no repeat is lost; windows that only seem to repeat
 cost a row of the second pass. The sketch grows with the input up to MOST_CELLS bits, which is what a task gets at most;
 beyond that it passes more windows on, and the result is the same.
+
+The second pass first settles what it can inside a task: of the rows that share a window there, only those of the smallest
+id are sent to meet the other tasks, so a window that a third of all documents share is one row for each task.
 """
 
 from __future__ import annotations
@@ -13,56 +16,74 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from barloom.llm.common import cut, small_batches, text_runs
+from barloom.llm.common import small_batches, text_runs
 
 WINDOW = 13  #: words
 ROWS, CELLS_PER_WORD = 2, 6
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 29
 SEGMENT = 1 << 22  #: cells of a row that are merged together
 PIECE = 4_000_000  #: windows that a task counts before it hands its cells on
+PIECE_BYTES = 1 << 24  #: text of a piece, about
 TOGETHER = 64  #: pieces that one group merges
-MAX_WORDS = 300_000  #: words whose hashes a worker remembers
-
-
-class WordDigests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_128_digest(word)
-        return value
-
-
-_digests = WordDigests()
-
-
-def _multipliers(window: int) -> np.ndarray:
-    return np.random.default_rng(13).integers(0, 1 << 63, (window, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+HELD = 1_000_000  #: windows that seem to repeat which a task settles together
+BLOCK = 1 << 15  #: windows that are hashed together, so that they stay in the processor's cache
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+_ODD = (np.random.default_rng(13).integers(0, 1 << 63, (64, 2), np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in two columns of 64 bits, and the number of words of each text. Words are read
+    eight bytes at a time, all words together."""
+    encoded = [t.encode() for t in texts]
+    data = b" " + b" ".join(encoded) + b" " * 9
+    buffer = np.frombuffer(data, np.uint8)
+    space = _SPACE[buffer]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    firsts = np.searchsorted(starts, 1 + np.concatenate([[0], np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1)]))
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    columns = []
+    for k in range(2):
+        h, at, rest = sizes.astype(np.uint64) * _ODD[62, k], 0, slice(None)
+        while at == 0 or len(rest):
+            eight = eights[starts[rest] + at] & _FIRST_BYTES[np.minimum(sizes[rest] - at, 8)]
+            x = (h[rest] ^ eight) * _ODD[63, k]
+            h[rest] = x ^ (x >> np.uint64(29))
+            at += 8
+            rest = np.flatnonzero(sizes > at) if at == 8 else rest[sizes[rest] > at]
+        columns.append(h)
+    return np.stack(columns), np.diff(firsts)
 
 
 def window_keys(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of 2 x 64 bits of all windows, the text that each stands in and the word of the text that it starts at."""
-    words = [t.encode().split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.frombuffer(b"".join(_digests[w] for ws in words for w in ws), "<u8").reshape(-1, 2)
-    n = max(0, len(h) - window + 1)
-    out = np.zeros((n, 2), np.uint64)
-    for i, m in enumerate(_multipliers(window)):
-        out += m * h[i : i + n]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0x9E3779B97F4A7C15)
+    """Two columns of 64-bit keys of all windows, the text that each stands in and the word of the text that it starts at."""
+    h, sizes = word_hashes(texts)
+    n = max(0, h.shape[1] - window + 1)
+    out = np.zeros((2, n), np.uint64)
+    for k in range(2):
+        for start in range(0, n, BLOCK):
+            part = out[k, start : start + BLOCK]
+            for i in range(window):
+                part += h[k, start + i : start + i + len(part)] * _ODD[i % 62, k] * np.uint64(2 * (i // 62) + 1)
+            part ^= part >> np.uint64(32)
+            part *= np.uint64(0x9E3779B97F4A7C15)
+            part ^= part >> np.uint64(29)
     ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(words)), sizes)[:n]
+    text = np.repeat(np.arange(len(sizes)), sizes)[:n]
     inside = np.arange(n) + window <= ends[text]
-    return out[inside], text[inside], (np.arange(n) - (ends - sizes)[text])[inside]
+    return out[:, inside], text[inside], (np.arange(n) - (ends - sizes)[text])[inside]
 
 
 def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    return ((keys[:, row] >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)
+    return (((keys[row] >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -77,7 +98,7 @@ def _segments(rows: list[np.ndarray], width: int, piece: int):
     for row, cells in enumerate(rows):
         once, n = np.unique(cells, return_counts=True)
         twice = once[n > 1]
-        edges = np.arange(per_row + 1, dtype=np.uint64) * np.uint64(SEGMENT)
+        edges = np.arange(per_row + 1) * SEGMENT
         a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
         for s in range(per_row):
             if a[s] < a[s + 1]:
@@ -94,7 +115,7 @@ def _sketch(width: int, window: int):
             for _, texts in text_runs(batch.column("text").to_pylist()):
                 keys = window_keys(texts, window)[0]
                 held.append(np.stack([_cells(keys, row, width) for row in range(ROWS)]))
-                n += len(keys)
+                n += keys.shape[1]
                 if n >= PIECE:
                     for row in _segments(list(np.concatenate(held, axis=1)), width, (TaskContext.get().partitionId() << 20) + made):
                         yield pa.RecordBatch.from_pylist([row], _SKETCH)
@@ -120,14 +141,17 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"segment": [table.column("segment")[0].as_py()], "piece": [table.column("together")[0].as_py()], "once": packed[:1], "twice": packed[1:]}, _SKETCH)
 
 
-def repeat_sketch(docs: DataFrame, width: int, window: int) -> list[np.ndarray]:
-    """For each row of the sketch a bit for each of `width` cells: whether windows fell into it twice or more."""
+def repeat_sketch(docs: DataFrame, width: int, window: int, size: int) -> list[np.ndarray]:
+    """For each row of the sketch a bit for each of `width` cells: whether windows fell into it twice or more. size, the
+    bytes of all texts, says in how many rounds pieces are merged."""
     schema = "segment long, piece long, once binary, twice binary"
-    parts = cut(docs.select("text").mapInArrow(_sketch(width, window), schema), "sketch")
-    while parts.groupBy("segment").count().agg(F.max("count")).first()[0] not in (None, 1):
-        pieces = parts.select("piece").distinct().count()
-        together = F.pmod(F.xxhash64("piece"), F.lit(-(-pieces // (TOGETHER // 2)))) if pieces > TOGETHER else F.lit(0)
-        parts = cut(parts.withColumn("together", together.cast("long")).groupBy("segment", "together").applyInArrow(_merged, schema), "sketch")
+    parts, groups = docs.select("text").mapInArrow(_sketch(width, window), schema), -(-size // (PIECE_BYTES * TOGETHER))
+    while True:
+        together = F.pmod(F.xxhash64("piece"), F.lit(groups)) if groups > 1 else F.lit(0)
+        parts = parts.withColumn("together", together.cast("long")).groupBy("segment", "together").applyInArrow(_merged, schema)
+        if groups <= 1:
+            break
+        groups = -(-groups // TOGETHER)
     per_row = -(-width // SEGMENT)
     out = [np.zeros(per_row * SEGMENT // 8, np.uint8) for _ in range(ROWS)]
     for segment, twice in parts.select("segment", "twice").collect():
@@ -136,45 +160,80 @@ def repeat_sketch(docs: DataFrame, width: int, window: int) -> list[np.ndarray]:
     return out
 
 
+def _settled(held: list[tuple], ids: pa.Array, marks: pa.Array):
+    """Rows of windows (hi, lo, doc_id, mark, at, n) from (keys, row, at) of one piece. Where a row of a smaller id in the
+    piece holds the window, the window goes: n consecutive ones are one row, with a key of its own. Others have n = 0."""
+    hi, lo = (np.concatenate([k[c] for k, _, _ in held]) for c in range(2))
+    row, at = (np.concatenate([h[c] for h in held]) for c in (1, 2))
+    rank = pc.rank(ids, tiebreaker="min").to_numpy()[row]
+    order = np.lexsort((rank, lo, hi))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
+    least = rank[order[fresh]][np.cumsum(fresh) - 1]
+    gone = np.zeros(len(order), bool)
+    gone[order] = rank[order] > least
+    open_ = np.flatnonzero(~gone)
+    gone = np.flatnonzero(gone)
+    gone = gone[np.lexsort((at[gone], row[gone]))]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(row[gone]) != 0) | (np.diff(at[gone]) != 1)])) if len(gone) else gone
+    n = np.concatenate([np.zeros(len(open_), np.int64), np.diff(np.append(starts, len(gone)))])
+    some = np.concatenate([open_, gone[starts]])
+    hi = np.where(n > 0, np.uint64(0x9E3779B97F4A7C15) * (row[some] * 1_000_003 + at[some]).astype(np.uint64), hi[some])
+    return [pa.array(hi.view(np.int64)), pa.array(lo[some].astype(np.uint32).view(np.int32)), ids.take(pa.array(row[some])), marks.take(pa.array(row[some])), pa.array(at[some].astype(np.int32)), pa.array(n.astype(np.int32))]
+
+
 def _seem_repeated(sketch, width: int, window: int):
     def run(batches):
         rows = sketch.value
+        held, n, base, ids, marks = [], 0, 0, [], []
+
+        def flush():
+            table = pa.RecordBatch.from_arrays(_settled(held, pa.concat_arrays(ids), pa.concat_arrays(marks)), ["hi", "lo", "doc_id", "mark", "at", "n"])
+            for start in range(0, len(table), 50_000):
+                yield table.slice(start, 50_000)
+
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids.append(batch.column("doc_id"))
+            marks.append(batch.column("mark"))
             for first, texts in text_runs(batch.column("text").to_pylist()):
                 keys, text, at = window_keys(texts, window)
-                seem = np.arange(len(keys))
+                seem = np.arange(keys.shape[1])
                 for row in range(ROWS):
-                    cells = _cells(keys[seem], row, width)
-                    seem = seem[(rows[row][cells >> np.uint64(3)] >> (7 - (cells & np.uint64(7))).astype(np.uint8)) & 1 == 1]
-                where = pa.array(first + text[seem])
-                found = keys[seem].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), ids.take(where), batch.column("text_hash").take(where), pa.array(at[seem].astype(np.int32))], ["hi", "lo", "doc_id", "text_hash", "at"])
+                    cells = _cells(keys[:, seem], row, width)
+                    seem = seem[(rows[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1]
+                held.append((keys[:, seem], base + first + text[seem], at[seem]))
+                n += len(seem)
+            base += batch.num_rows
+            if n >= HELD:
+                yield from flush()
+                held, n, base, ids, marks = [], 0, 0, [], []
+        if n:
+            yield from flush()
 
     return run
 
 
 def _cleaned(window: int):
     def run(batches):
+        pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             n_words, n_removed, clean, spans = [], [], [], []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                n_words.append(len(words))
-                out, kept, last = [], [], 0
-                for start in at or ():
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                words, out = (text or "").encode().split(), []
+                for start, end in sorted((g["at"], g["at"] + max(g["n"], 1) - 1 + window) for g in gone or ()):
                     if out and start <= out[-1]["end"]:
-                        out[-1]["end"] = start + window
+                        out[-1]["end"] = max(end, out[-1]["end"])
                     else:
-                        out.append({"start": start, "end": start + window})
+                        out.append({"start": start, "end": end})
+                kept, last = [], 0
                 for s in out:
                     kept += words[last : s["start"]]
                     last = s["end"]
                 kept += words[last:]
+                n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 clean.append(b" ".join(kept).decode())
                 spans.append(out)
-            pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(clean, pa.string()), pa.array(spans, pairs)], ["doc_id", "n_words", "n_removed", "clean_text", "spans"])
 
     return run
@@ -191,14 +250,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Other columns, whatever their names, are not read and not returned."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     small_batches(spark)
-    docs = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select("doc_id", "text").withColumn("mark", F.hash("text"))  # tells rows of one id apart
     named = docs.where("doc_id is not null")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = min(MOST_CELLS, max(LEAST_CELLS, CELLS_PER_WORD * size // 6)) // ROWS
-    sketch = spark.sparkContext.broadcast(repeat_sketch(named, width, window))
-    seem = cut(named.mapInArrow(_seem_repeated(sketch, width, window), f"hi long, lo long, doc_id {id_type}, text_hash long, at int"), "windows")
-    first = seem.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hi", "lo", "first")
-    later = seem.join(first, ["hi", "lo"]).where("doc_id > first")
-    spots = later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    rows = docs.join(spots.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "at")
+    sketch = spark.sparkContext.broadcast(repeat_sketch(named, width, window, size))
+    seem = named.mapInArrow(_seem_repeated(sketch, width, window), f"hi long, lo int, doc_id {id_type}, mark int, at int, n int")
+    first = F.min(F.when(F.col("n") == 0, F.col("doc_id"))).over(Window.partitionBy("hi", "lo"))
+    later = seem.withColumn("first", first).where("n > 0 or doc_id > first")
+    gone = later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+    rows = docs.join(gone.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
     return rows.mapInArrow(_cleaned(window), f"doc_id {id_type}, n_words long, n_removed long, clean_text string, spans array<struct<start: int, end: int>>")
