@@ -12,8 +12,6 @@ id are sent to meet the other tasks, so a window that a third of all documents s
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import small_batches, text_runs
+from barloom.llm.common import cut, small_batches, text_runs
 
 WINDOW = 13  #: words
 ROWS, CELLS_PER_WORD = 2, 6
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 29
+LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 30
 SEGMENT = 1 << 22  #: cells of a row that are merged together
 PIECE = 4_000_000  #: windows that a task counts before it hands its cells on
 PIECE_BYTES = 1 << 24  #: text of a piece, about
@@ -86,10 +84,22 @@ def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     return (((keys[row] >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _packed(cells: np.ndarray) -> bytes:
-    bits = np.zeros(SEGMENT, bool)
-    bits[cells] = True
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
+def packed(cells: np.ndarray) -> bytes:
+    """Ascending places in a segment: one bit for each place of a full segment (after a byte 1), else the steps from one to
+    the next, a byte each, with 255 for a step that goes on (after a byte 0)."""
+    if 8 * len(cells) > SEGMENT:
+        bits = np.zeros(SEGMENT, bool)
+        bits[cells] = True
+        return b"\1" + np.packbits(bits).tobytes()
+    more, last = np.divmod(np.diff(cells, prepend=0), 255)
+    out = np.full(int(more.sum()) + len(cells), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = last
+    return b"\0" + out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8, offset=1)
+    return np.flatnonzero(np.unpackbits(steps)) if data[0] else np.cumsum(steps, dtype=np.int64)[steps < 255]
 
 
 def _segments(rows: list[np.ndarray], width: int, piece: int):
@@ -102,7 +112,7 @@ def _segments(rows: list[np.ndarray], width: int, piece: int):
         a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
         for s in range(per_row):
             if a[s] < a[s + 1]:
-                yield {"segment": row * per_row + s, "piece": piece, "once": _packed(once[a[s] : a[s + 1]] - edges[s]), "twice": _packed(twice[b[s] : b[s + 1]] - edges[s])}
+                yield {"segment": row * per_row + s, "piece": piece, "once": packed(once[a[s] : a[s + 1]] - edges[s]), "twice": packed(twice[b[s] : b[s + 1]] - edges[s])}
 
 
 _SKETCH = pa.schema([("segment", pa.int64()), ("piece", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -127,18 +137,15 @@ def _sketch(width: int, window: int):
     return run
 
 
-def _bits(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8)
-
-
 def _merged(table: pa.Table) -> pa.Table:
-    once, twice = np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
+    once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
     for a, b in zip(table.column("once"), table.column("twice"), strict=True):
-        a, b = _bits(a.as_py()), _bits(b.as_py())
-        twice |= b | (once & a)
-        once |= a
-    packed = [zlib.compress(x.tobytes(), 1) for x in (once, twice)]
-    return pa.table({"segment": [table.column("segment")[0].as_py()], "piece": [table.column("together")[0].as_py()], "once": packed[:1], "twice": packed[1:]}, _SKETCH)
+        cells = unpacked(a.as_py())
+        twice[unpacked(b.as_py())] = True
+        twice[cells[once[cells]]] = True
+        once[cells] = True
+    values = [packed(np.flatnonzero(x)) for x in (once, twice)]
+    return pa.table({"segment": [table.column("segment")[0].as_py()], "piece": [table.column("together")[0].as_py()], "once": values[:1], "twice": values[1:]}, _SKETCH)
 
 
 def repeat_sketch(docs: DataFrame, width: int, window: int, size: int) -> list[np.ndarray]:
@@ -154,9 +161,11 @@ def repeat_sketch(docs: DataFrame, width: int, window: int, size: int) -> list[n
         groups = -(-groups // TOGETHER)
     per_row = -(-width // SEGMENT)
     out = [np.zeros(per_row * SEGMENT // 8, np.uint8) for _ in range(ROWS)]
-    for segment, twice in parts.select("segment", "twice").collect():
+    for segment, twice in cut(parts.select("segment", "twice"), "sketch").toLocalIterator():  # a file at a time
         row, s = divmod(segment, per_row)
-        out[row][s * SEGMENT // 8 : (s + 1) * SEGMENT // 8] = _bits(twice)
+        bits = np.zeros(SEGMENT, bool)
+        bits[unpacked(bytes(twice))] = True
+        out[row][s * SEGMENT // 8 : (s + 1) * SEGMENT // 8] = np.packbits(bits)
     return out
 
 

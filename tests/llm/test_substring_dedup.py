@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,14 @@ def test_words_and_windows_of_any_length_have_keys():
     assert keys.shape[1] == 202 and len(set(map(tuple, keys.T.tolist()))) == 102 and at.tolist() == [*range(101), *range(101)]
 
 
+def test_cells_are_packed_and_unpacked():
+    draw = np.random.default_rng(7)
+    for n in (0, 1, 1000, op.SEGMENT // 8, op.SEGMENT // 8 + 1, op.SEGMENT // 3):
+        cells = np.sort(draw.choice(op.SEGMENT, n, replace=False))
+        assert (op.unpacked(op.packed(cells)) == cells).all()
+    assert op.unpacked(op.packed(np.array([0, 254, 509, 510, 765]))).tolist() == [0, 254, 509, 510, 765]
+
+
 def test_spans_cover_what_went(spark):
     a = " ".join(f"a{i}" for i in range(60))
     rows = op.remove_repeats(spark.createDataFrame([(1, a), (2, f"x y {a} z"), (3, a[3:])], "doc_id long, text string")).collect()
