@@ -29,7 +29,7 @@ SEGMENT = 1 << 22  #: cells of a row that are merged together
 PIECE = 4_000_000  #: windows that a task counts before it hands its cells on
 PIECE_BYTES = 1 << 24  #: text of a piece, about
 TOGETHER = 64  #: pieces that one group merges
-HELD = 1_000_000  #: windows that seem to repeat which a task settles together
+HELD = 1_500_000  #: windows that seem to repeat which a task settles together
 BLOCK = 1 << 15  #: windows that are hashed together, so that they stay in the processor's cache
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -193,7 +193,7 @@ def _settled(held: list[tuple], ids: pa.Array, marks: pa.Array):
 
 def _seem_repeated(sketch, width: int, window: int):
     def run(batches):
-        rows = sketch.value
+        rows = [np.frombuffer(row, np.uint8) for row in sketch.value]
         held, n, base, ids, marks = [], 0, 0, [], []
 
         def flush():
@@ -229,7 +229,7 @@ def _cleaned(window: int):
             n_words, n_removed, clean, spans = [], [], [], []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 words, out = (text or "").encode().split(), []
-                for start, end in sorted((g["at"], g["at"] + max(g["n"], 1) - 1 + window) for g in gone or ()):
+                for start, end in sorted(((g >> 32), (g >> 32) + max(g & 0xFFFFFFFF, 1) - 1 + window) for g in gone or ()):
                     if out and start <= out[-1]["end"]:
                         out[-1]["end"] = max(end, out[-1]["end"])
                     else:
@@ -259,14 +259,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Other columns, whatever their names, are not read and not returned."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     small_batches(spark)
-    docs = docs.select("doc_id", "text").withColumn("mark", F.hash("text"))  # tells rows of one id apart
+    docs = docs.select("doc_id", "text")
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    docs = docs.withColumn("mark", F.hash("text") if repeated else F.lit(0))  # tells rows of one id apart
     named = docs.where("doc_id is not null")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = min(MOST_CELLS, max(LEAST_CELLS, CELLS_PER_WORD * size // 6)) // ROWS
-    sketch = spark.sparkContext.broadcast(repeat_sketch(named, width, window, size))
+    sketch = spark.sparkContext.broadcast([row.tobytes() for row in repeat_sketch(named, width, window, size)])
     seem = named.mapInArrow(_seem_repeated(sketch, width, window), f"hi long, lo int, doc_id {id_type}, mark int, at int, n int")
     first = F.min(F.when(F.col("n") == 0, F.col("doc_id"))).over(Window.partitionBy("hi", "lo"))
     later = seem.withColumn("first", first).where("n > 0 or doc_id > first")
-    gone = later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+    gone = later.groupBy("doc_id", "mark").agg(F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("gone"))
     rows = docs.join(gone.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
     return rows.mapInArrow(_cleaned(window), f"doc_id {id_type}, n_words long, n_removed long, clean_text string, spans array<struct<start: int, end: int>>")
