@@ -29,6 +29,7 @@ SEGMENT = 1 << 22  #: cells of a row that are merged together
 PIECE = 4_000_000  #: windows that a task counts before it hands its cells on
 PIECE_BYTES = 1 << 24  #: text of a piece, about
 TOGETHER = 64  #: pieces that one group merges
+MOST_MARKS = 1 << 27  #: bits that name the documents that lose words, at most
 HELD = 1_500_000  #: windows that seem to repeat which a task settles together
 BLOCK = 1 << 15  #: windows that are hashed together, so that they stay in the processor's cache
 _SPACE = np.zeros(256, bool)
@@ -222,6 +223,30 @@ def _seem_repeated(sketch, width: int, window: int):
     return run
 
 
+def _touched(gone: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each hash of an id that loses words, MOST_MARKS bits at most, and the number of bits."""
+    slots = min(MOST_MARKS, -(-max(1, 16 * gone.count()) // 32_768) * 32_768)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    parts = gone.groupBy(F.floor(slot / 32_768).alias("part")).agg(F.bitmap_construct_agg(slot % 32_768).alias("bits")).collect()
+    out = np.zeros(slots // 8, np.uint8)
+    for part, bits in parts:
+        out[part * 4096 : (part + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    return out, slots
+
+
+def _split(touched, wanted: bool):
+    """Rows of the ids whose bit is set, or of all others."""
+
+    def run(batches):
+        bits = np.frombuffer(touched.value, np.uint8)
+        for batch in batches:
+            slot = batch.column("slot").fill_null(-1).to_numpy()
+            hit = (slot >= 0) & ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
+            yield batch.filter(pa.array(hit == wanted)).select(["doc_id", "mark", "text"])
+
+    return run
+
+
 def _cleaned(window: int):
     def run(batches):
         pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -269,6 +294,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     seem = named.mapInArrow(_seem_repeated(sketch, width, window), f"hi long, lo int, doc_id {id_type}, mark int, at int, n int")
     first = F.min(F.when(F.col("n") == 0, F.col("doc_id"))).over(Window.partitionBy("hi", "lo"))
     later = seem.withColumn("first", first).where("n > 0 or doc_id > first")
-    gone = later.groupBy("doc_id", "mark").agg(F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("gone"))
-    rows = docs.join(gone.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
-    return rows.mapInArrow(_cleaned(window), f"doc_id {id_type}, n_words long, n_removed long, clean_text string, spans array<struct<start: int, end: int>>")
+    gone = cut(later.groupBy("doc_id", "mark").agg(F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("gone")), "gone")
+    # Texts that lose nothing are not shuffled.
+    bits, slots = _touched(gone)
+    touched = spark.sparkContext.broadcast(bits.tobytes())
+    marked, schema = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots))), f"doc_id {id_type}, mark int, text string"
+    whole = marked.mapInArrow(_split(touched, False), schema).select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"))
+    cleaned = marked.mapInArrow(_split(touched, True), schema).join(gone.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
+    result = f"doc_id {id_type}, n_words long, n_removed long, clean_text string, spans array<struct<start: int, end: int>>"
+    return whole.mapInArrow(_cleaned(window), result).unionByName(cleaned.mapInArrow(_cleaned(window), result))
