@@ -11,7 +11,6 @@ _NET = "SELECT *, gross_return - cost_rate AS net FROM {trades}"
 _SYMBOLS = "SELECT symbol, avg(r) AS mean_r, stddev_samp(r) AS sd, count(*) AS n FROM {returns} GROUP BY symbol"
 _SCENARIOS = "(VALUES ('base', 5.0, 10.0), ('high', 15.0, 30.0)) AS c(scenario, commission_bps, slippage_bps)"
 _STAKES = "SELECT symbol, sector, sum(weight) AS weight, sum(notional) AS notional FROM {positions} GROUP BY symbol, sector"
-_PAIRS = "SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS c, covar_samp(a.r, b.r) AS v, count(*) AS n FROM {returns} a JOIN {returns} b ON a.ts = b.ts AND a.symbol < b.symbol AND a.sector = b.sector GROUP BY a.symbol, b.symbol"
 _RUNS = "SELECT symbol, ts, under, CASE WHEN under = lag(under) OVER (PARTITION BY symbol ORDER BY ts) THEN 0 ELSE 1 END AS fresh FROM (SELECT symbol, ts, CASE WHEN equity < peak THEN 1 ELSE 0 END AS under FROM ({0}) d) u"
 _LOSS_RUNS = "SELECT strategy, trade_id, symbol, notional, net, loss, CASE WHEN loss = lag(loss) OVER (PARTITION BY strategy ORDER BY trade_id, symbol, notional, net) THEN 0 ELSE 1 END AS fresh FROM (SELECT strategy, trade_id, symbol, notional, net, CASE WHEN net < 0 THEN 1 ELSE 0 END AS loss FROM ({0}) n) u"
 
@@ -30,7 +29,6 @@ TEXTS = {
     "b11_weight_caps": f"SELECT symbol, sector, round(capped * least(1.0, 0.3 / nullif(sum(capped) OVER (PARTITION BY sector), 0)), 9) AS weight FROM (SELECT symbol, sector, least(weight, 0.02) AS capped FROM ({_STAKES}) p) q WHERE capped >= 0.001",
     "b12_exposure": "SELECT coalesce(sector, 'ALL') AS sector, coalesce(strategy, 'ALL') AS strategy, round(sum(weight), 9) AS gross, count(*) AS n FROM {positions} GROUP BY CUBE (sector, strategy)",
     "b13_constraint_violations": "SELECT kind, name, round(weight, 9) AS weight FROM (SELECT 'sector' AS kind, sector AS name, sum(weight) AS weight FROM {positions} GROUP BY sector UNION ALL SELECT 'strategy', strategy, sum(weight) FROM {positions} GROUP BY strategy) q WHERE weight > 0.25",
-    "b14_correlation_pairs": f"SELECT a, b, n, round(c, 6) AS correlation FROM ({_PAIRS}) q WHERE n >= 30 AND c IS NOT NULL",
     "b17_diversification": f"SELECT round(sum(weight * weight), 9) AS hhi, round(1 / nullif(sum(weight * weight), 0), 4) AS effective_n, count(DISTINCT sector) AS sectors FROM ({_STAKES}) q",
     "b18_turnover": f"SELECT coalesce(a.symbol, b.symbol) AS symbol, round(coalesce(b.w, 0) - coalesce(a.w, 0), 9) AS delta, CASE WHEN coalesce(b.w, 0) - coalesce(a.w, 0) > 0.0005 THEN 'BUY' WHEN coalesce(b.w, 0) - coalesce(a.w, 0) < -0.0005 THEN 'SELL' ELSE 'HOLD' END AS action FROM (SELECT symbol, weight AS w FROM ({_STAKES}) x) a FULL OUTER JOIN (SELECT symbol, greatest(mean_r, 0) / nullif(sum(greatest(mean_r, 0)) OVER (), 0) AS w FROM ({_SYMBOLS}) y) b ON a.symbol = b.symbol",
     "b19_basket_curve": f"SELECT x.ts, round(sum(p.weight * x.r) / nullif(sum(p.weight), 0), 9) AS basket_return FROM {{returns}} x JOIN ({_STAKES}) p ON x.symbol = p.symbol GROUP BY x.ts",

@@ -70,7 +70,6 @@ TEXTS = {
     "f18_dates": "SELECT signal_id, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(extract(month FROM ts) AS INT) AS m, day_number(ts) - day_number(DATE '1995-01-01') AS days FROM {outcomes}",
     "s07_long_statements": "SELECT symbol, period, item, round(amount, 4) AS amount FROM (SELECT symbol, period, 'revenue' AS item, revenue AS amount FROM {statements} UNION ALL SELECT symbol, period, 'profit', profit FROM {statements} UNION ALL SELECT symbol, period, 'debt', debt FROM {statements}) q",
     "s06_preview": "SELECT count(*) AS n, count(DISTINCT l_returnflag) AS flags, min(l_quantity) AS low, max(l_quantity) AS high, count(*) - count(l_tax) AS empty_tax FROM {lineitem}",
-    "j11_pair_returns": "SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 6) AS c FROM {returns} a JOIN {returns} b ON a.ts = b.ts AND a.symbol < b.symbol AND a.sector = b.sector GROUP BY a.symbol, b.symbol HAVING count(*) >= 60",
     "x08_daily_drift": "SELECT e.day, round(e.m - b.m, 6) AS shift, CASE WHEN abs(e.m - b.m) > 0.5 * b.s THEN 1 ELSE 0 END AS drifted FROM (SELECT CAST(ts AS DATE) AS day, avg(value) AS m FROM {events} GROUP BY CAST(ts AS DATE)) e CROSS JOIN (SELECT avg(value) AS m, stddev_pop(value) AS s FROM {events} WHERE ts < TIMESTAMP '2024-01-08 00:00:00') b",
     "m10_attribution_shares": "SELECT symbol, ts, feature, round(abs(x) / nullif(sum(abs(x)) OVER (PARTITION BY symbol, ts), 0), 6) AS share FROM (SELECT symbol, ts, 'distance' AS feature, close / nullif(ma_20, 0) - 1 AS x FROM {breadth} WHERE ma_20 IS NOT NULL UNION ALL SELECT symbol, ts, 'momentum', close / nullif(close_20_ago, 0) - 1 FROM {breadth} WHERE ma_20 IS NOT NULL UNION ALL SELECT symbol, ts, 'range', (high - low) / nullif(close, 0) FROM {breadth} WHERE ma_20 IS NOT NULL) q",
     "x02_fingerprint": "SELECT signal_id, hash_text(CAST(symbol AS VARCHAR(20)) || '|' || strategy || '|' || CAST(CAST(floor(score) AS BIGINT) AS VARCHAR(20))) AS fingerprint FROM {outcomes}",

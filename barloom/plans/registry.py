@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from barloom.functions import indicators as requests
-from barloom.operators import alignment, calibration, cleaning, clusters, crosssection, evidence, hybrid, learning, performance, tabular
+from barloom.operators import alignment, calibration, chunking, cleaning, constraints, correlation, crosssection, divergence, evidence, folds, hybrid, learning, performance, resampling, tabular, trades, trading_days
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.retrieval import QUERIES as JOBS
 from barloom.operators.patterns import PATTERNS, WINDOWED
 from barloom.operators.smoothed import SMOOTHED
 from barloom.plans.layers import Plan
+from barloom.sources import store
 from barloom.sources.bars import BARS
 from barloom.streaming import queries as streaming
 
@@ -30,5 +31,10 @@ for _name, (_layers, _out) in (INDICATORS | SMOOTHED | PATTERNS | WINDOWED).item
 PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMENTS | tabular.STATEMENTS
 PLANS |= alignment.STATEMENTS | evidence.STATEMENTS | cleaning.STATEMENTS
 
-QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()} | learning.QUERIES | hybrid.QUERIES | clusters.QUERIES | streaming.QUERIES | requests.QUERIES
-ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o} | learning.ORACLES | hybrid.ORACLES | clusters.ORACLES | streaming.ORACLES | requests.ORACLES
+#: Modules with queries and statements of their own.
+MODULES = (learning, hybrid, chunking, correlation, constraints, divergence, folds, resampling, store, trades, trading_days, streaming, requests)
+QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()}
+ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
