@@ -30,7 +30,7 @@ PIECE = 4_000_000  #: windows that a task counts before it hands its cells on
 PIECE_BYTES = 1 << 24  #: text of a piece, about
 TOGETHER = 64  #: pieces that one group merges
 MOST_MARKS = 1 << 27  #: bits that name the documents that lose words, at most
-HELD = 1_500_000  #: windows that seem to repeat which a task settles together
+HELD = 700_000  #: windows that seem to repeat which a task settles together
 BLOCK = 1 << 15  #: windows that are hashed together, so that they stay in the processor's cache
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -103,12 +103,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(steps)) if data[0] else np.cumsum(steps, dtype=np.int64)[steps < 255]
 
 
-def _segments(rows: list[np.ndarray], width: int, piece: int):
-    """(segment, piece, once, twice) of one piece: the cells met once or more, and twice or more."""
+def _segments(held: list[np.ndarray], width: int, piece: int):
+    """(segment, piece, once, twice) of one piece: the cells met once or more, and twice or more, a row at a time."""
     per_row = -(-width // SEGMENT)
-    for row, cells in enumerate(rows):
-        once, n = np.unique(cells, return_counts=True)
-        twice = once[n > 1]
+    for row in range(ROWS):
+        cells = np.concatenate([h[row] for h in held])
+        cells.sort()
+        again = np.concatenate([[False], cells[1:] == cells[:-1]])
+        once, twice = cells[~again], np.unique(cells[again])
         edges = np.arange(per_row + 1) * SEGMENT
         a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
         for s in range(per_row):
@@ -128,11 +130,11 @@ def _sketch(width: int, window: int):
                 held.append(np.stack([_cells(keys, row, width) for row in range(ROWS)]))
                 n += keys.shape[1]
                 if n >= PIECE:
-                    for row in _segments(list(np.concatenate(held, axis=1)), width, (TaskContext.get().partitionId() << 20) + made):
+                    for row in _segments(held, width, (TaskContext.get().partitionId() << 20) + made):
                         yield pa.RecordBatch.from_pylist([row], _SKETCH)
                     held, n, made = [], 0, made + 1
         if n:
-            for row in _segments(list(np.concatenate(held, axis=1)), width, (TaskContext.get().partitionId() << 20) + made):
+            for row in _segments(held, width, (TaskContext.get().partitionId() << 20) + made):
                 yield pa.RecordBatch.from_pylist([row], _SKETCH)
 
     return run
@@ -234,41 +236,53 @@ def _touched(gone: DataFrame) -> tuple[np.ndarray, int]:
     return out, slots
 
 
-def _split(touched, wanted: bool):
-    """Rows of the ids whose bit is set, or of all others."""
+def _is_touched(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    slot = batch.column("slot").to_numpy()
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _waiting(touched):
+    """Rows of the ids whose bit is set."""
 
     def run(batches):
         bits = np.frombuffer(touched.value, np.uint8)
         for batch in batches:
-            slot = batch.column("slot").fill_null(-1).to_numpy()
-            hit = (slot >= 0) & ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
-            yield batch.filter(pa.array(hit == wanted)).select(["doc_id", "mark", "text"])
+            yield batch.filter(pa.array(_is_touched(batch, bits))).select(["doc_id", "mark", "text"])
 
     return run
 
 
-def _cleaned(window: int):
+def _clean(words: list[bytes], gone: list[int], window: int) -> tuple[list[bytes], list[dict]]:
+    """The words outside of all windows, and the runs that the windows cover; an entry is the first window of a run of n (0
+    is a run of one) at 2^32 * at + n."""
+    spans, kept, last = [], [], 0
+    for start, end in sorted(((g >> 32), (g >> 32) + max(g & 0xFFFFFFFF, 1) - 1 + window) for g in gone):
+        if spans and start <= spans[-1]["end"]:
+            spans[-1]["end"] = max(end, spans[-1]["end"])
+        else:
+            spans.append({"start": start, "end": end})
+    for s in spans:
+        kept += words[last : s["start"]]
+        last = s["end"]
+    return kept + words[last:], spans
+
+
+def _cleaned(window: int, touched=None):
+    """Results of all rows, or of those whose bit is not set: they have nothing to lose."""
+
     def run(batches):
         pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        bits = None if touched is None else np.frombuffer(touched.value, np.uint8)
         for batch in batches:
-            n_words, n_removed, clean, spans = [], [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                words, out = (text or "").encode().split(), []
-                for start, end in sorted(((g >> 32), (g >> 32) + max(g & 0xFFFFFFFF, 1) - 1 + window) for g in gone or ()):
-                    if out and start <= out[-1]["end"]:
-                        out[-1]["end"] = max(end, out[-1]["end"])
-                    else:
-                        out.append({"start": start, "end": end})
-                kept, last = [], 0
-                for s in out:
-                    kept += words[last : s["start"]]
-                    last = s["end"]
-                kept += words[last:]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                clean.append(b" ".join(kept).decode())
-                spans.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(clean, pa.string()), pa.array(spans, pairs)], ["doc_id", "n_words", "n_removed", "clean_text", "spans"])
+            if bits is not None:
+                batch = batch.filter(pa.array(~_is_touched(batch, bits)))
+            found = []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist() if bits is None else [None] * batch.num_rows, strict=True):
+                words = (text or "").encode().split()
+                kept, spans = _clean(words, gone or [], window)
+                found.append((len(words), len(words) - len(kept), b" ".join(kept).decode(), spans))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pairs), strict=True))], ["doc_id", "n_words", "n_removed", "clean_text", "spans"])
 
     return run
 
@@ -298,8 +312,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Texts that lose nothing are not shuffled.
     bits, slots = _touched(gone)
     touched = spark.sparkContext.broadcast(bits.tobytes())
-    marked, schema = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots))), f"doc_id {id_type}, mark int, text string"
-    whole = marked.mapInArrow(_split(touched, False), schema).select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"))
-    cleaned = marked.mapInArrow(_split(touched, True), schema).join(gone.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
+    marked = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
     result = f"doc_id {id_type}, n_words long, n_removed long, clean_text string, spans array<struct<start: int, end: int>>"
-    return whole.mapInArrow(_cleaned(window), result).unionByName(cleaned.mapInArrow(_cleaned(window), result))
+    waiting = marked.mapInArrow(_waiting(touched), f"doc_id {id_type}, mark int, text string")
+    judged = waiting.join(gone.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "gone")
+    return marked.mapInArrow(_cleaned(window, touched), result).unionByName(judged.mapInArrow(_cleaned(window), result))
