@@ -28,7 +28,7 @@ def water_filled(rows: DataFrame, cap: float, portfolio: str = "portfolio", weig
     order = Window.partitionBy("p").orderBy(F.desc("w"))
     # Weights are shares of the total here: row_number() <= most is a limit that Spark applies before the shuffle, too.
     top = own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most + 1).join(totals, "p").withColumn("w", F.col("w") / F.col("total"))
-    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("p").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     level = F.try_divide(1 - (F.col("k") - 1) * cap, 1 - before)
     fits = top.withColumn("level", level).where(F.col("level") * F.col("w") <= cap + 1e-12)
     levels = fits.groupBy("p").agg(F.min_by("level", "k").alias("level"))

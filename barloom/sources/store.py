@@ -17,7 +17,8 @@ COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume", "vendor", "
 class BarStore:
     """Bars by (symbol, vendor, timeframe) in two tables, raw and adjusted. Each is bucketed by symbol and sorted by symbol
     and time inside a bucket, and each partition of vendor and timeframe holds one file for each bucket: windows by symbol
-    and joins of two tables by symbol read it without an exchange."""
+    and joins of both tables read it without an exchange (a join by symbol and time where the session has
+    spark.sql.requireAllClusterKeysForCoPartition off, as both are dealt by symbol alone)."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
         self.spark, self.name, self.buckets = spark, name, buckets
@@ -59,7 +60,7 @@ class BarStore:
         return self.read(vendor, timeframe, adjusted=adjusted).groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("bars"))
 
     def with_adjusted(self, vendor: str, timeframe: str) -> DataFrame:
-        """Raw and adjusted close side by side: both tables have the same buckets, so none is shuffled."""
+        """Raw and adjusted close side by side."""
         raw = self.read(vendor, timeframe).select("symbol", "ts", "close")
         return raw.join(self.read(vendor, timeframe, adjusted=True).select("symbol", "ts", F.col("close").alias("adjusted_close")), ["symbol", "ts"])
 
@@ -86,7 +87,7 @@ class RecordLog:
         from the newest on, twice as many each time, until they hold n records, so older ones are never read."""
         days, some = self.days(), 1
         while days:
-            rows = self.spark.read.parquet(self.folder).where(F.col("day").isin(days[:some]))
+            rows = self.spark.read.option("basePath", self.folder).parquet(*(f"{self.folder}/day={d.isoformat()}" for d in days[:some]))
             if some >= len(days) or rows.count() >= n:
                 return rows.orderBy(F.desc(stamp), F.desc(tie)).limit(n).drop("day")
             some *= 2

@@ -161,7 +161,7 @@ def test_redistribution_equals_repeated_cuts(spark, cap):
 def test_groups_are_scaled(spark):
     df = spark.createDataFrame([(1, "x", "s", 0.4), (2, "x", "t", 0.2), (3, None, "t", 0.3), (4, "y", "t", 0.0005)], "symbol int, sector string, strategy string, capped double")
     got = {r["symbol"]: r["final"] for r in constraints.scaled_to_groups(df, {"sector": 0.5, "strategy": 0.35}, 0.9).collect()}
-    assert got[1] == pytest.approx(0.4 * 0.35 / 0.4) and got[2] == pytest.approx(0.2 * 0.35 / 0.5005) and got[3] == pytest.approx(0.3 * 0.35 / 0.5005) and got[4] == 0.0
+    assert got[1] == pytest.approx(0.4 * 0.5 / 0.6) and got[2] == pytest.approx(0.2 * 0.35 / 0.5005) and got[3] == pytest.approx(0.3 * 0.35 / 0.5005) and got[4] == 0.0
     assert sum(r["final"] for r in constraints.scaled_to_groups(df, {"sector": 1.0}, 0.45).collect()) == pytest.approx(0.45, abs=1e-3)
 
 
@@ -243,6 +243,7 @@ def test_store_is_read_without_an_exchange(spark):
     assert store.read("one", "1d", ["A"], last="2024-01-01").collect()[0]["close"] == 7.0
     assert {(r["symbol"], r["bars"]) for r in store.symbols("two", "1d").collect()} == {("A", 9), ("B", 9)}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     try:
         window = store.read("one", "1d").withColumn("m", F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-2, 0)))
         for df in (window, store.with_adjusted("one", "1d")):
@@ -250,6 +251,7 @@ def test_store_is_read_without_an_exchange(spark):
             assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
     with pytest.raises(ValueError):
         store.write(rows.withColumn("symbol", F.lit(None).cast("string")), "one", "1d")
 
