@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barloom.functions import families
 from barloom.functions import indicators as requests
 from barloom.operators import alignment, calibration, chunking, cleaning, constraints, correlation, crosssection, divergence, evidence, folds, hybrid, learning, performance, resampling, tabular, trades, trading_days
 from barloom.operators.indicators import INDICATORS
@@ -32,7 +33,7 @@ PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMEN
 PLANS |= alignment.STATEMENTS | evidence.STATEMENTS | cleaning.STATEMENTS
 
 #: Modules with queries and statements of their own.
-MODULES = (learning, hybrid, chunking, correlation, constraints, divergence, folds, resampling, store, trades, trading_days, streaming, requests)
+MODULES = (learning, hybrid, chunking, correlation, constraints, divergence, folds, resampling, store, trades, trading_days, streaming, requests, families)
 QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()}
 ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o}
 for _module in MODULES:
