@@ -11,7 +11,7 @@ _SIDES = "SELECT score AS x, CASE WHEN ts < DATE '1997-01-01' THEN 'ref' ELSE 'c
 _RANGE = f"SELECT min(x) AS low, max(x) AS high FROM ({_SIDES}) r"
 _PSI_BINS = f"SELECT CAST(least(floor((x - low) / nullif(high - low, 0) * 10), 9) AS INT) AS bin, count_if(side = 'ref') AS nr, count_if(side = 'cur') AS nc FROM ({_SIDES}) s CROSS JOIN ({_RANGE}) g GROUP BY 1"
 _CDF = f"SELECT x, sum(nr) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (sum(nr) OVER () + 0.0) AS fr, sum(nc) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (sum(nc) OVER () + 0.0) AS fc, lead(x) OVER (ORDER BY x) - x AS gap FROM (SELECT CAST(floor(x) AS INT) AS x, count_if(side = 'ref') AS nr, count_if(side = 'cur') AS nc FROM ({_SIDES}) s GROUP BY 1) q"
-_VOTES = "SELECT symbol, sector, 'technical' AS source, CASE WHEN close > ma_20 THEN 'LONG' ELSE 'SHORT' END AS direction, 60.0 AS score, 1.0 AS weight FROM {breadth} WHERE ma_20 IS NOT NULL AND ts >= DATE '2000-06-01' UNION ALL SELECT symbol, sector, 'fundamental', CASE WHEN size > 5000 THEN 'LONG' WHEN size < 0 THEN 'SHORT' ELSE 'NEUTRAL' END, 55.0, 0.8 FROM {instruments} UNION ALL SELECT symbol, sector, 'momentum', CASE WHEN r > 0 THEN 'LONG' ELSE 'SHORT' END, 50.0, 0.5 FROM {returns} WHERE ts >= DATE '2000-06-01'"
+_VOTES = "SELECT symbol, sector, 'technical' AS source, CASE WHEN close > ma_20 THEN 'LONG' ELSE 'SHORT' END AS direction, 60.0 AS score, 1.0 AS weight FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS newest FROM {breadth}) b WHERE ma_20 IS NOT NULL AND ts = newest UNION ALL SELECT symbol, sector, 'fundamental', CASE WHEN size > 5000 THEN 'LONG' WHEN size < 0 THEN 'SHORT' ELSE 'NEUTRAL' END, 55.0, 0.8 FROM {instruments} UNION ALL SELECT symbol, sector, 'momentum', CASE WHEN r > 0 THEN 'LONG' ELSE 'SHORT' END, 50.0, 0.5 FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS newest FROM {returns}) n WHERE ts = newest"
 _LEDGER = "SELECT strategy, count(*) AS n, avg(hit) AS hit_rate, avg(net_return) AS mean_return, stddev_samp(net_return) AS sd, avg(score) AS score FROM {outcomes} GROUP BY strategy"
 _PERIODS = "SELECT strategy, CASE WHEN ts < DATE '1997-01-01' THEN 'ref' ELSE 'cur' END AS period, count(*) AS n, avg(hit) AS hit_rate, avg(net_return) AS mean_return, avg(score) AS score, avg(CASE WHEN score >= 50 THEN 1.0 ELSE 0.0 END) AS alert_rate, stddev_pop(score) AS sd FROM {outcomes} GROUP BY 1, 2"
 _SHIFT = f"SELECT strategy, max(CASE WHEN period = 'ref' THEN {{c}} END) AS a, max(CASE WHEN period = 'cur' THEN {{c}} END) AS b, min(n) AS n FROM ({_PERIODS}) p GROUP BY strategy"
