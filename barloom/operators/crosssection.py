@@ -18,7 +18,7 @@ _ABOVE = ", ".join(f"100 * avg(CASE WHEN ma_{n} IS NOT NULL THEN CASE WHEN close
 _PARTICIPATION = f"SELECT ts, {_ABOVE}, 100 * avg(CASE WHEN close > previous_close THEN 1.0 ELSE 0.0 END) AS positive_pct FROM {{breadth}} WHERE previous_close IS NOT NULL GROUP BY ts"
 _RS = "SELECT symbol, sector, ts, " + ", ".join(f"close / nullif(close_{n}_ago, 0) - 1 AS m{n}" for n in (20, 50, 100)) + " FROM {breadth}"
 _FACTORS = "SELECT symbol, sector, ts, close / nullif(close_20_ago, 0) - 1 AS momentum, -(high - low) / nullif(close, 0) AS low_range, volume FROM {breadth}"
-_MULTIPLES = "SELECT symbol, period, fiscal_year, revenue, profit, debt, 1000000.0 AS cap, 1000000.0 / nullif(profit, 0) AS pe, (1000000.0 + debt) / nullif(revenue, 0) AS ev_sales, profit / 1000000.0 AS earnings_yield FROM {statements}"
+_MULTIPLES = "SELECT symbol, period, fiscal_year, revenue, profit, debt, cap, cap / nullif(profit, 0) AS pe, (cap + debt) / nullif(revenue, 0) AS ev_sales, profit / cap AS earnings_yield FROM (SELECT *, revenue / n_orders * (3 + symbol % 7) + 5000 AS cap FROM {statements}) c"
 
 TEXTS = {
     "a01_advance_decline": f"SELECT ts, advances, declines, unchanged, advances - declines AS net, round({_RATIO}, 6) AS ratio, CASE WHEN {_RATIO} >= 2.0 THEN 'STRONG' WHEN {_RATIO} >= 1.2 THEN 'POSITIVE' WHEN {_RATIO} > 0.8 THEN 'NEUTRAL' WHEN {_RATIO} > 0.5 THEN 'NEGATIVE' ELSE 'WEAK' END AS class FROM ({_ADVANCE}) q",

@@ -118,7 +118,12 @@ def wd5_divergence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_features(rows, divergence_events(pivot_pairs(rows, "close", "momentum"))).withColumn("strength", F.round("strength", 6)).drop("pos")
 
 
-QUERIES = {f.__name__: f for f in (wd3_pivot_pairs, wd4_divergence_events, wd5_divergence_features)}
+def wd3_wd4_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of unconfirmed pivots."""
+    return divergence_events(pivot_pairs(_momentum(spark, sf_dir), "close", "momentum")).select("symbol", "ts", "kind", F.col("bars").alias("bars_apart"))
+
+
+QUERIES = {f.__name__: f for f in (wd3_pivot_pairs, wd4_divergence_events, wd5_divergence_features, wd3_wd4_divergences)}
 
 
 def _pairs_sql(confirm: int) -> str:
@@ -156,6 +161,7 @@ def _events_sql(confirmed: bool) -> str:
 ORACLES = {
     "wd3_pivot_pairs": f"WITH {_pairs_sql(0)} SELECT * FROM pairs",
     "wd4_divergence_events": f"WITH {_pairs_sql(CONFIRM)}, {_events_sql(True)} SELECT symbol, side, ts, told_pos, bars, kind, round(strength, 6) AS strength, class FROM events",
+    "wd3_wd4_divergences": f"WITH {_pairs_sql(0)}, {_events_sql(False)} SELECT symbol, ts, kind, bars AS bars_apart FROM events",
     "wd5_divergence_features": f"""WITH {_pairs_sql(0)}, {_events_sql(False)},
 joined AS (SELECT p.symbol, p.ts, p.pos, {", ".join(f"CAST(count(e.kind) FILTER (e.kind = '{k}') > 0 AS DOUBLE) AS {k.lower()}" for k in KINDS)}, coalesce(max(e.strength), 0) AS strength FROM placed p LEFT JOIN events e ON e.symbol = p.symbol AND e.told_pos = p.pos GROUP BY p.symbol, p.ts, p.pos)
 SELECT symbol, ts, {", ".join(k.lower() for k in KINDS)}, round(strength, 6) AS strength, CASE WHEN regular_bullish + hidden_bullish > 0 THEN 1.0 WHEN regular_bearish + hidden_bearish > 0 THEN -1.0 ELSE 0.0 END AS direction,

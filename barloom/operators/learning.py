@@ -93,7 +93,7 @@ def b25_bootstrap(spark: SparkSession, sf_dir: str, simulations: int = 50, steps
     """Interval of the mean return of each symbol by a block bootstrap. The draw of a step is a hash of seed, symbol,
     simulation and block, so a task that runs again draws the same."""
     w = W.partitionBy("symbol").orderBy("ts")
-    rows = RETURNS.frame(spark, sf_dir).select("symbol", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.lit(-0.5)), F.lit(0.5))).alias("r"), (F.row_number().over(w) - 1).alias("k"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
+    rows = RETURNS.frame(spark, sf_dir).select("symbol", "r", (F.row_number().over(w) - 1).alias("k"), F.count("*").over(W.partitionBy("symbol")).alias("n"))
     sizes = rows.groupBy("symbol").agg(F.max("n").alias("n"))
     grid = sizes.select("symbol", "n", F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim")).select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     drawn = grid.withColumn("k", F.pmod(F.pmod(F.xxhash64(F.lit(7), "symbol", "sim", F.floor(F.col("step") / block)), "n") + F.col("step") % block, "n").cast("int"))
