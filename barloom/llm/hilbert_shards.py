@@ -13,7 +13,7 @@ SHARDS = 16
 BITS = 5  #: of each dimension's coordinate
 ACCURACY = 10_000  #: of the quantiles that cut a number
 RANGES = 128  #: of a string dimension's distinct values
-WHOLE_PERCENT = 1  #: equal texts of up to this part of a shard stay together, unless the caller says otherwise
+WHOLE_PERCENT = 30  #: equal texts of up to this part of a shard's bytes stay together, unless the caller says otherwise
 _GROUP = ("h", "crc", "size")
 
 
@@ -108,11 +108,12 @@ def _place(offsets: dict[int, tuple[int, int, int]], total: int, shards: int, wh
                 starts[i] = start
             group = size * copies
             whole = 100 * shards * group <= whole_percent * total
-            middle = np.where(whole, 2 * starts + group, 2 * before[:-1] + size)
-            shard = np.minimum(shards - 1, middle * shards // (2 * total))
+            shard_of = lambda middle: np.minimum(shards - 1, middle * shards // (2 * total))  # noqa: E731  of twice a place
+            shard = shard_of(np.where(whole, 2 * starts + group, 2 * before[:-1] + size))
+            in_two = ~whole & (shard_of(2 * starts + size) < shard_of(2 * (starts + group) - size))
             rank = row0 + seen + np.arange(len(size))
             seen, done = seen + len(size), done + int(size.sum())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "crc")), pa.array(shard.astype(np.int32)), pa.array(rank), pa.array(~whole)], ["doc_id", "size", "text_crc32", "shard", "rank", "group_cut"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "crc")), pa.array(shard.astype(np.int32)), pa.array(rank), pa.array(in_two)], ["doc_id", "size", "text_crc32", "shard", "rank", "group_cut"])
 
     return run
 
@@ -124,8 +125,9 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, whole_percent: float =
     Law `bytes`: the rows stand in the order of the curve over (lang, source, n_chars), each dimension cut at its
     quantiles, then by text and doc_id; runs of near equal bytes make the shards, and slot counts the rows of a shard.
     Equal texts form a group, which takes the curve place of its smallest doc_id, so a group is one run. One law holds at
-    every size: a run of up to `whole_percent` of a shard's bytes is never cut, a longer one is cut where the bytes say
-    (0: any may be cut, 100: none that fits a shard), and group_cut names the rows of such long runs. Sums come from one
+    every size: a run of up to `whole_percent` of a shard's bytes is never cut and goes where its middle lies, so a shard
+    is off by half of that at either end at most; a longer one is cut where the bytes say (0: any may be cut, 100: none
+    that fits a shard). group_cut names the rows of runs that lie in several shards. Sums come from one
     row for each partition, so no key or group has to fit a task.
 
     Null metadata count as the smallest value, a null text as empty; very long texts are read in place. Ties (equal text
