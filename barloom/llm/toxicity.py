@@ -21,8 +21,7 @@ from barloom.llm.labelled import labelled_sample
 SAMPLE = {0: 16_000, 1: 4_000}
 PREFIXES = range(4, 9)  #: lengths of word beginnings that can become entries
 MIN_DOCS = 4  #: toxic rows that hold an entry at least
-MAX_CANDIDATES = 40_000
-MAX_ENTRIES = 2_000
+FLUSH = 200_000  #: terms that a task counts before it hands them on
 PRECISION = 0.8  #: toxic share of an entry's texts, and of its contexts, at least
 CHANCE = 0.01  #: chance that any entry at all is one by accident
 SEED_WEIGHT = 3.0
@@ -125,30 +124,25 @@ def _terms(word: str) -> list[str]:
     return [f" {word} ", *(f" {word[:n]}" for n in PREFIXES if n < len(word))]
 
 
-def _toxic_terms(batches):
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in _folded(batch):
-            counts.update({t for w in set(text.split()) for t in _terms(w)})
-    yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-
-
 def _folded(batch):
     return (x for _, part in text_runs(batch.column("text").to_pylist()) for x in fold(part))
 
 
-def _doc_counts(terms: frozenset[str]):
-    """Rows (term, toxic, n): texts that hold a candidate term."""
+def _doc_counts(batches):
+    """Rows (term, toxic, n): texts that hold a term, FLUSH terms at a time."""
 
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for text, toxic in zip(_folded(batch), batch.column("toxic").to_pylist(), strict=True):
-                counts.update((t, toxic) for t in {t for w in set(text.split()) for t in _terms(w)} & terms)
+    def given(counts: Counter) -> pa.RecordBatch:
         rows = sorted(counts.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["term", "toxic", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["term", "toxic", "n"])
 
-    return run
+    counts: Counter = Counter()
+    for batch in batches:
+        for text, toxic in zip(_folded(batch), batch.column("toxic").to_pylist(), strict=True):
+            counts.update((t, toxic) for t in {t for w in set(text.split()) for t in _terms(w)})
+            if len(counts) > FLUSH:
+                yield given(counts)
+                counts.clear()
+    yield given(counts)
 
 
 def _evidence(terms: frozenset[str]):
@@ -188,23 +182,25 @@ def _chosen(found: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
     covered: set[str] = set()
     for _, _, term, weight in sorted(scored):
         own = {term[:n] for n in range(5, len(term) + 1)}
-        if len(kept) < MAX_ENTRIES and term not in covered and not own & kept.keys():
+        if term not in covered and not own & kept.keys():
             kept[term] = weight
             covered |= own
     return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Lexicon:
-    """Learn the lexicon and the scale from a bounded sample of rows that are not held out (SAMPLE)."""
+    """Learn the lexicon and the scale from a bounded sample of rows that are not held out (SAMPLE).
+
+    Null texts and labels are not learned from, empty texts hold no term, very long ones are read whole, and equal texts
+    count once. Without rows of both labels the lexicon has its seeds alone and the scale it starts with; so it has for an
+    empty table. Other columns are not read."""
     small_batches(docs.sparkSession)
     rows = labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "toxic", held_out, SAMPLE)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    terms = rows.where("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    candidates = frozenset(r["term"] for r in terms.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect())
     texts = rows.select("text", F.col("toxic").cast("int").alias("toxic"))
-    share = F.sum(F.col("n") * F.col("toxic")) / F.sum("n")
-    likely = texts.mapInArrow(_doc_counts(candidates), "term string, toxic int, n long").groupBy("term").agg(share.alias("share")).where(F.col("share") >= PRECISION)
-    candidates = frozenset(r["term"] for r in likely.collect())  # of MAX_CANDIDATES at most
+    toxic, every = F.sum(F.col("n") * F.col("toxic")), F.sum("n")
+    likely = texts.mapInArrow(_doc_counts, "term string, toxic int, n long").groupBy("term").agg(toxic.alias("a"), every.alias("n")).where((F.col("a") >= MIN_DOCS) & (F.col("a") / F.col("n") >= PRECISION))
+    candidates = frozenset(r["term"] for r in likely.select("term").collect())  # of the words of SAMPLE's toxic rows
     seen = texts.mapInArrow(_evidence(candidates), "term string, toxic int, context long")
     by_term = seen.groupBy("term").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("a"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("context"))).alias("b")).where("a > 0")
     found = [(r["term"], r["a"], r["b"]) for r in by_term.collect()]
@@ -255,8 +251,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adds to docs(text, ...): total (of weights), n_hits, n_terms (words of the folded text), matched (entries) and
     score; columns of docs with these names are replaced, all others stay.
 
-    A null or empty text has no hits and the score of none. Repeated rows score alike; ties do not arise; an empty table
-    gives an empty result.
+    A null or empty text has no hits and the score of none; a very long one is scored whole inside its row. Repeated rows
+    score alike; ties do not arise; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.drop(*_NAMES)
