@@ -127,7 +127,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.drop(*_NAMES, "_runs", "_items")
+    rows = docs.drop(*_NAMES)
+    inner = {c: f"_{k}{'_' * max(map(len, rows.columns))}" for k, c in enumerate(("_runs", "_items")) if c in rows.columns}  # the caller's, set aside
+    rows = rows.withColumnsRenamed(inner)
     pair = "array<struct<{}: bigint, {}: bigint>>"
     found = rows.withColumns({"text": F.col("text").cast("binary"), "_runs": F.array().cast(pair.format("first", "last")), "_items": F.array().cast("array<string>")})
     others = [f for f in found.schema.fields if f.name not in ("_runs", "_items")]
@@ -139,4 +141,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.withColumns({
         "text": F.col("text").cast("string"), "n_hit": n_hit, "n_items": F.size("_items").cast("long"), "items": F.col("_items"),
         "items_sha256": F.sha2(F.array_join("_items", ",").cast("binary"), 256), "contaminated": n_hit > 0,
-    }).drop("_runs", "_items")
+    }).drop("_runs", "_items").withColumnsRenamed({own: c for c, own in inner.items()})

@@ -85,8 +85,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     inside its row. An empty table gives an empty result. Extra columns stay as they are; columns of the names above are
     replaced.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    row = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != "")).withColumn("_lines", F.transform(F.split(text, "\n"), judged))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
+    text = F.coalesce(F.col("given.text"), F.lit(""))
+    row = row.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != "")).withColumn("_lines", F.transform(F.split(text, "\n"), judged))
     row = row.withColumn("_failed", F.filter("_lines", lambda x: x["fails"])["line"]).withColumn("_worded", F.filter("_lines", lambda x: x["worded"])["line"])
     long = lambda c: c.cast("long")
     found = {
@@ -97,10 +98,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         "n_repeat_words": long(_repeated_words(F.col("_words"))),
         "n_lines_failed": long(F.size("_failed")),
         "lost_chars": long(F.length(F.regexp_replace(F.array_join("_failed", ""), SPACE, ""))),
-        "clean_text": F.when(F.size("_failed") == 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda x: ~x["fails"])["line"], "\n")),
+        "clean_text": F.when(F.size("_failed") == 0, F.col("given.text")).otherwise(F.array_join(F.filter("_lines", lambda x: ~x["fails"])["line"], "\n")),
     }
     # One generated row: a filter on what follows then uses these values instead of computing them again.
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (*found, "base_failed", "kept")]
+    others = [F.col(f"given.`{c}`").alias(c) for c in docs.columns if c not in (*found, "base_failed", "kept")]
     row = row.select(*others, F.inline(F.array(F.struct(*(c.alias(n) for n, c in found.items())))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     row = row.withColumn("base_failed", failed)

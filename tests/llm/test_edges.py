@@ -81,3 +81,44 @@ def test_models_without_labels(spark):
     assert toxicity.score_toxicity(odd(spark), lexicon).count() == N
     machine = quality_model.fit(odd(spark), none, F.lit(False))
     assert {r["score"] for r in quality_model.score_quality(odd(spark), machine).collect()} == {0.5}
+
+
+INNER = ("_words", "_lines", "_failed", "_worded", "given", "_runs", "_items", "_others", "row", "pid", "term")
+
+
+@pytest.mark.parametrize("name", ["rules", "toxicity", "benchmark"])
+def test_other_columns_keep_their_values(spark, name):
+    """Columns of the names that operators use inside, of several types, come back as they went in."""
+    kinds = (F.lit("mine"), F.create_map(F.lit("a"), F.col("doc_id")), F.array(F.lit(1), F.lit(None).cast("int")), F.struct(F.lit(2).alias("x")))
+    docs = odd(spark).withColumns({c: kinds[i % 4] for i, c in enumerate(INNER)})
+    found = OPERATORS[name](spark, docs)
+    own = [c for c in docs.columns if c != "text"]
+    assert set(own) <= set(found.columns)
+    assert sorted(map(str, found.select(own).collect())) == sorted(map(str, docs.select(own).collect()))
+
+
+def test_one_row_of_equal_ids_with_columns_without_an_order(spark):
+    import corpus_pipeline
+
+    docs = odd(spark).withColumns({"meta": F.create_map(F.lit("k"), F.col("source")), "list": F.array("lang")})
+    rows = corpus_pipeline.near_dedup(spark, docs, "")
+    assert rows.columns == docs.columns
+    ids = [r["doc_id"] for r in rows.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 8, 9] and ids.count(None) == 1
+    again = corpus_pipeline.near_dedup(spark, docs.repartition(5).orderBy(F.desc("source")), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_groups_of_equal_texts_at_the_default(spark):
+    """Groups of up to three tenths of a shard lie in one shard, shards are near equal, and cut groups are named."""
+    rows = [(i, f"text {i} " * 20, "en", "a", i) for i in range(400)] + [(1000 + i, f"copy {i % 9} " * 12, "de", f"s{i % 3}", 5) for i in range(45)] + [(2000 + i, "hot " * 25, "fr", "b", 1) for i in range(200)]
+    found = hilbert_shards.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    text = {r[0]: r[1] for r in rows}
+    shards: dict = {}
+    for r in found:
+        shards.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    total = sum(r["size"] for r in found)
+    sizes = [sum(r["size"] for r in found if r["shard"] == k) for k in range(16)]
+    assert all(len(s) == 1 for t, s in shards.items() if not t.startswith("hot")) and len(shards["hot " * 25]) > 3
+    assert all(r["group_cut"] == (len(shards[text[r["doc_id"]]]) > 1) for r in found)
+    assert all(abs(16 * s / total - 1) < 0.31 for s in sizes)
