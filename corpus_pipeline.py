@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate as benchmark
 from barloom.llm import toxicity as lexicon
-from barloom.llm.common import documents, held_out, new_folder
+from barloom.llm.common import cut, documents, held_out, new_folder
 from barloom.llm.minhash_dedup import near_duplicates
 from barloom.llm.packing import pack
 from barloom.llm.quality_rules import quality_rules
@@ -51,13 +51,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id. Documents without an id stay.
 
-    Rows of one id and one text are one document, of which the row with the smallest other columns stays; rows of one id
-    with different texts stay or go together. Null and wordless texts are in no group and stay; an empty table stays
-    empty; columns with names that the operator adds keep their own values."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = _beside(docs, "doc_id", "text")
-    one = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min("_others").alias("_others"))
-    return _restored(one.unionByName(rows.where("doc_id is null")), docs, "doc_id", "text")
+    Rows of one id and one text are one document, of which the row stays whose other columns, as JSON, hash lowest; rows of
+    one id with different texts stay or go together. Null and wordless texts are in no group and stay; an empty table stays
+    empty; very long texts are compared whole; columns with names that the operator adds, of any type, keep their own
+    values."""
+    by_id = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = cut(by_id.where("not kept").select("doc_id"), "gone")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = _beside(docs, "doc_id", "text").join(gone, "doc_id", "left_anti")
+    if not twice.isEmpty():
+        others = len(docs.columns) > 2
+        least = F.min_by("_others", F.xxhash64(F.to_json("_others"))) if others else F.first("_others")
+        one = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(least.alias("_others"))
+        rows = rows.join(twice, "doc_id", "left_anti").unionByName(one)
+    return _restored(rows, docs, "doc_id", "text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
