@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,11 +95,9 @@ class RecordLog:
         return None
 
 
-def store_of(spark: SparkSession, sf_dir: str) -> BarStore:
-    """The daily bars of a folder of tables in a store of their own, raw and with the jumps of halved prices taken out."""
-    import zlib
-
-    store = BarStore(spark, f"barloom_bars_{zlib.crc32(sf_dir.encode()):08x}", 8)
+def store_of(spark: SparkSession, sf_dir: str, name: str) -> BarStore:
+    """The daily bars of a folder of tables in a store of their own, raw and with half their prices as the adjusted ones."""
+    store = BarStore(spark, f"barloom_{name}_{zlib.crc32(sf_dir.encode()):08x}", 8)
     rows = bars(spark, sf_dir)
     store.write(rows, "trades", "1d")
     store.write(rows.withColumns({c: F.col(c) / 2 for c in ("open", "high", "low", "close")}), "trades", "1d", adjusted=True)
@@ -107,13 +106,13 @@ def store_of(spark: SparkSession, sf_dir: str) -> BarStore:
 
 def s09_stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-bar means of raw closes beside the adjusted close, from the store."""
-    rows = store_of(spark, sf_dir).with_adjusted("trades", "1d")
+    rows = store_of(spark, sf_dir, "windows").with_adjusted("trades", "1d")
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-2, 0)
     return rows.select("symbol", "ts", "close", "adjusted_close", F.round(F.avg("close").over(w), 6).alias("mean_3"))
 
 
 def s09_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_of(spark, sf_dir).symbols("trades", "1d")
+    return store_of(spark, sf_dir, "symbols").symbols("trades", "1d")
 
 
 QUERIES = {f.__name__: f for f in (s09_stored_windows, s09_symbols)}
