@@ -18,7 +18,7 @@ CHECKS, STEP = 128, 32  #: separate hashes for the posterior, a byte of each, co
 MISS = 1e-6  #: a candidate is pruned when its posterior chance of being similar enough falls below this
 BLOCK = 1024  #: members of a bucket that meet in one cell; a larger bucket is laid out in cells of two blocks each
 PARTS, PART_PAIRS = 64, 100_000  #: a leader's text goes once to each part of its members: PARTS, or more for so many pairs each
-MAX_WORDS = 300_000  #: words whose hashes a worker remembers
+MAX_WORDS = 100_000  #: words whose hashes a worker remembers
 _M64 = (1 << 64) - 1
 
 
@@ -82,6 +82,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def run(batches):
+        _words.clear()  # of the task before: an idle worker would keep them
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]

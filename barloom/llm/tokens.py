@@ -15,7 +15,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
-TABLE_BYTES = 64_000_000  #: memory of the pieces that a worker remembers; the table starts anew beyond that
+TABLE_BYTES = 32_000_000  #: memory of the pieces that a worker remembers; the table starts anew beyond that
 PIECE_BYTES = 200  #: of a remembered piece beside its text and ids
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:*#$%&|"
 _CLASSED_APART = re.compile("[\x1c-\x1f]")

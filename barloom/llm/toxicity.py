@@ -21,7 +21,7 @@ from barloom.llm.labelled import labelled_sample
 SAMPLE = {0: 16_000, 1: 4_000}
 PREFIXES = range(4, 9)  #: lengths of word beginnings that can become entries
 MIN_DOCS = 4  #: toxic rows that hold an entry at least
-FLUSH = 200_000  #: terms that a task counts before it hands them on
+FLUSH = 50_000  #: terms that a task counts before it hands them on
 PRECISION = 0.8  #: toxic share of an entry's texts, and of its contexts, at least
 CHANCE = 0.01  #: chance that any entry at all is one by accident
 SEED_WEIGHT = 3.0
