@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.operators.correlation import b15_correlation_clusters
+from barloom.operators.correlation import _CLUSTERS, _P, _R, b15_correlation_clusters
 from barloom.sources.tables import POSITIONS, RETURNS
 
 
@@ -115,8 +115,6 @@ def b12_net_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (b11_redistributed, b11_final_weights, b13_limits_broken, b18_turnover_cost, b12_net_exposure)}
 
-from barloom.operators.correlation import _CLUSTERS, _P, _R  # noqa: E402  the statements share the clusters
-
 #: Redistribution step by step: cut at the cap and deal the excess out in proportion, 60 times.
 _FILLED = f"""s AS (SELECT symbol, sector, strategy, weight / sum(weight) OVER (PARTITION BY strategy) AS weight FROM ({POSITIONS.sql}) x),
 steps AS (

@@ -40,8 +40,8 @@ def _pivot(series: str, high: bool, confirm: int, lookback: int) -> Column:
 def _nearest(series: str, flag: str, near: int) -> Column:
     """(pos, value) of the pivot nearest to the row, the earlier one of two as near."""
     w = _by_place()
-    at = lambda k: F.lag(F.when(F.col(flag), F.struct("pos", F.col(series).alias("value"))), k).over(w) if k > 0 else F.lead(F.when(F.col(flag), F.struct("pos", F.col(series).alias("value"))), -k).over(w)
-    return F.coalesce(*(at(k) for k in sorted(range(-near, near + 1), key=lambda k: (abs(k), -k))))
+    point = F.when(F.col(flag), F.struct("pos", F.col(series).alias("value")))
+    return F.coalesce(*(F.lag(point, k).over(w) for k in sorted(range(-near, near + 1), key=lambda k: (abs(k), -k))))
 
 
 def pivot_pairs(rows: DataFrame, price: str, indicator: str, confirm: int = 0, lookback: int = LOOKBACK, near: int = NEAR, least: int = LEAST, most: int = MOST) -> DataFrame:

@@ -195,7 +195,7 @@ def _trades_sql(rules: Rules) -> str:
     wish = f"CASE {' '.join(f'WHEN {c} THEN {r!r}' for c, r in filter(None, wishes))} END"
     shares = lambda notional, at: f"trunc({notional} / {at})" if rules.whole_shares else f"({notional} / {at})"
     state = "cash, q, paid, cost, entry_k, since"
-    kept = f"CASE WHEN {{0}} THEN {{1}} ELSE {{2}} END"  # noqa: F541
+    kept = "CASE WHEN {0} THEN {1} ELSE {2} END"
 
     def enter(source: str, at: str, wants: str, notional: str) -> str:
         """A statement that opens a position where `wants` holds and there is cash for it."""
@@ -221,9 +221,7 @@ def _trades_sql(rules: Rules) -> str:
         order = f"SELECT * REPLACE (NULL::VARCHAR AS waits) FROM ({enter(order, 'close', 'coalesce(waits = ' + repr('enter') + ', FALSE)', 'notional')})"
     names = "symbol, ts, open, close, signal, k, waits, reason, notional, cash, q, paid, cost, entry_k, since, done"
     start = f"SELECT symbol, ts, open, close, signal, 0 AS k, NULL::VARCHAR AS waits, NULL::VARCHAR AS reason, NULL::DOUBLE AS notional, {rules.capital!r}::DOUBLE AS cash, 0.0::DOUBLE AS q, NULL::DOUBLE AS paid, NULL::DOUBLE AS cost, NULL::BIGINT AS entry_k, NULL::DATE AS since, {done} AS done FROM b WHERE k = 1"
-    ended = "UNION ALL SELECT symbol, ts, since, q, paid, close, cost, k - entry_k, 'END' FROM r WHERE q > 0 QUALIFY k = max(k) OVER (PARTITION BY symbol)" if rules.close_at_end else ""
-    if ended:
-        ended = "UNION ALL SELECT symbol, ts, since, q, paid, close, cost, k - entry_k, 'END' FROM (SELECT *, max(k) OVER (PARTITION BY symbol) AS top FROM r) z WHERE k = top AND q > 0"
+    ended = "UNION ALL SELECT symbol, ts, since, q, paid, close, cost, k - entry_k, 'END' FROM (SELECT *, max(k) OVER (PARTITION BY symbol) AS top FROM r) z WHERE k = top AND q > 0" if rules.close_at_end else ""
     gross = '("at" - paid) * q'
     out = f'q * "at" * {rate!r}'
     return f"""WITH RECURSIVE p AS ({BARS_SQL}),
