@@ -126,6 +126,36 @@ def test_correlations_over_blocks_equal_numpy(spark):
     assert correlation.pair_correlations(df.where("false")).collect() == []
 
 
+def test_tiles_of_correlations_are_written_once_and_pairs_summed_in_the_task(spark):
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=90)
+    rows = [(s, DAY + timedelta(days=i), float(x)) for s in range(40) for i, x in enumerate(base * (s % 4) + draw.normal(size=90))]
+    df = spark.createDataFrame(rows, "symbol long, ts date, r double")
+    plan = correlation.pair_correlations(df, block=4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "explode" not in plan
+    pairs = {(r["a"], r["b"]): r["correlation"] for r in correlation.pair_correlations(df, block=4).collect()}
+    links = correlation.linked_symbols(df, 30, 0.3, block=4).collect()
+    assert len(links) < sum(abs(c) >= 0.3 for c in pairs.values())
+    groups = lambda found: {frozenset(g) for g in found}
+
+    def joined(edges):
+        of = {s: {s} for s in range(40)}
+        for a, b in edges:
+            both = of[a] | of[b]
+            for s in both:
+                of[s] = both
+        return groups(of.values())
+
+    assert joined((r["a"], r["b"]) for r in links) == joined(k for k, c in pairs.items() if abs(c) >= 0.3)
+    weights = spark.createDataFrame([(s, 1.0 + s) for s in range(39)], "symbol long, weight double")
+    got = {r["symbol"]: (r["most"], r["mean"]) for r in correlation.weighted_correlations(df, weights, block=4).collect()}
+    assert set(got) == {-1, *range(39)}
+    own = [(1.0 + (b if a == 5 else a), c) for (a, b), c in pairs.items() if 5 in (a, b) and b != 39]
+    assert got[5] == pytest.approx((max(c for _, c in own), sum(w * c for w, c in own) / sum(w for w, _ in own)))
+    whole = [((1.0 + a) * (1.0 + b), c) for (a, b), c in pairs.items() if b != 39]
+    assert got[-1] == pytest.approx((max(c for _, c in whole), sum(w * c for w, c in whole) / sum(w for w, _ in whole)))
+
+
 def test_correlations_are_not_joined_by_day(spark):
     df = spark.createDataFrame([(1, DAY, 1.0), (1, DAY + timedelta(days=1), 2.0), (2, DAY, 3.0)], "symbol long, ts date, r double")
     plan = correlation.pair_correlations(df)._jdf.queryExecution().optimizedPlan().toString()
