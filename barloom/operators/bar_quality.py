@@ -16,18 +16,18 @@ SEVERITY = {"ERROR": 10, "WARNING": 2}
 CAP = 20  #: best score of a symbol with a critical finding
 
 
-def findings(rows: DataFrame, arrival: str | None = None, most_gap: int = 5, most_return: float = 0.5, least_rows: int = 30, holidays: list[str] = ()) -> DataFrame:
+def findings(rows: DataFrame, arrival: str | None = None, most_gap: int = 5, most_return: float = 0.5, least_rows: int = 30, holidays: list[str] = (), then: list[str] = ()) -> DataFrame:
     """rows(symbol, ts, open, high, low, close, volume) -> (symbol, check, severity, n), a row for each check that finds
     something: columns that are missing or no numbers (CRITICAL); rows out of order by `arrival`, repeated stamps, nulls and
     negative values by column, prices outside of high and low (ERROR); gaps of more than most_gap trading days, returns of
     more than most_return, a volume that is always 0, and fewer than least_rows rows (WARNING). A null price takes part in
-    no relation. An empty table has no symbol and so no finding."""
+    no relation. Rows of one stamp follow each other by the columns `then`, without which their order is open. An empty table has no symbol and so no finding."""
     types = dict(rows.dtypes)
     lacking = [c for c in VALUES if c not in types]
     text = [c for c in VALUES if c in types and types[c] in ("string", "boolean", "binary", "date", "timestamp")]
     there = [c for c in VALUES if c in types and c not in text]
     has = lambda *c: all(x in there for x in c)
-    w, by_arrival = Window.partitionBy("symbol").orderBy("ts"), Window.partitionBy("symbol").orderBy(arrival) if arrival else None
+    w, by_arrival = Window.partitionBy("symbol").orderBy("ts", *then), Window.partitionBy("symbol").orderBy(arrival) if arrival else None
     given = rows.withColumn("_gap", trading_number(F.col("ts"), list(holidays)) - trading_number(F.lag("ts").over(w), list(holidays)))
     if has("close"):
         given = given.withColumn("_move", F.abs(F.try_divide("close", F.lag("close").over(w)) - 1))
@@ -101,13 +101,13 @@ def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a26_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(_faulty(spark, sf_dir), most_gap=15, most_return=20.0, holidays=_HOLIDAYS)
+    return findings(_faulty(spark, sf_dir), most_gap=15, most_return=20.0, holidays=_HOLIDAYS, then=["place"])
 
 
 def a26_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the faulty bars as they were typed: the volume is text."""
     rows = _faulty(spark, sf_dir).withColumn("volume", F.col("volume").cast("string"))
-    return scores(rows, findings(rows, most_gap=15, most_return=20.0, holidays=_HOLIDAYS))
+    return scores(rows, findings(rows, most_gap=15, most_return=20.0, holidays=_HOLIDAYS, then=["place"]))
 
 
 def a29_table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
