@@ -25,13 +25,18 @@ YIELDS = ("FCF_YIELD", "EARNINGS_YIELD", "DIVIDEND_YIELD")
 EPSILON, EXTREME, LEAST = 1e-9, 1000.0, 8
 
 
+def _digits(value: Column, digits: int) -> Column:
+    """Rounded as doubles are, scaled up and down: a decimal rounding takes a value that is already short (0.0324415) for a tie."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def multiples(accounts: DataFrame) -> DataFrame:
     """accounts(symbol, period, items) -> a row for each metric: numerator, denominator, value, status (INSUFFICIENT_DATA
     without both items, WATCH where the denominator is negative and the metric minds, ZERO where it is next to nothing, else
     OK) and extreme, an absolute value above EXTREME."""
     items = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(a).cast("double").alias("numerator"), F.col(b).cast("double").alias("denominator"), F.lit(minds).alias("minds")) for m, (a, b, minds) in METRICS.items()))
     rows = accounts.select("symbol", "period", F.inline(items))
-    value = F.when(F.abs("denominator") >= EPSILON, F.round(F.col("numerator") / F.col("denominator"), 9))  # equal values are equal
+    value = F.when(F.abs("denominator") >= EPSILON, _digits(F.col("numerator") / F.col("denominator"), 9))  # equal values are equal
     status = F.when(F.col("numerator").isNull() | F.col("denominator").isNull(), "INSUFFICIENT_DATA").when(F.col("minds") & (F.col("denominator") < 0), "WATCH").when(F.abs("denominator") < EPSILON, "ZERO").otherwise("OK")
     return rows.withColumns({"value": value, "status": status}).withColumn("extreme", F.coalesce(F.abs("value") > EXTREME, F.lit(False))).drop("minds")
 
@@ -58,7 +63,7 @@ def ratios(accounts: DataFrame) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(_digits(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def a15_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
