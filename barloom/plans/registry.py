@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from barloom.functions import families
 from barloom.functions import indicators as requests
-from barloom.operators import alignment, bar_quality, calibration, chunking, cleaning, constraints, correlation, crosssection, divergence, ensemble, evidence, folds, hybrid, learning, performance, policies, resampling, search, tabular, trades, trading_days, valuation
+from barloom.operators import alignment, bar_quality, calibration, chunking, cleaning, constraints, correlation, crosssection, divergence, ensemble, evidence, folds, hybrid, learning, percentiles, performance, policies, streaks, resampling, search, tabular, trades, trading_days, valuation
 from barloom.operators.indicators import INDICATORS
 from barloom.operators.retrieval import QUERIES as JOBS
 from barloom.operators.patterns import PATTERNS, WINDOWED
@@ -33,7 +33,7 @@ PLANS |= crosssection.STATEMENTS | performance.STATEMENTS | calibration.STATEMEN
 PLANS |= alignment.STATEMENTS | evidence.STATEMENTS | cleaning.STATEMENTS
 
 #: Modules with queries and statements of their own.
-MODULES = (learning, hybrid, bar_quality, chunking, correlation, constraints, divergence, ensemble, folds, policies, resampling, search, store, trades, trading_days, valuation, streaming, requests, families)
+MODULES = (learning, hybrid, bar_quality, percentiles, streaks, chunking, correlation, constraints, divergence, ensemble, folds, policies, resampling, search, store, trades, trading_days, valuation, streaming, requests, families)
 QUERIES: dict = {n: p.frame for n, p in PLANS.items()} | {n: q for n, (q, _) in JOBS.items()}
 ORACLES: dict = {n: p.sql() for n, p in PLANS.items()} | {n: o for n, (_, o) in JOBS.items() if o}
 for _module in MODULES:

@@ -10,7 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.operators import chunking, constraints, correlation, divergence, folds, resampling, trades, trading_days
+from barloom.operators import chunking, constraints, correlation, divergence, ensemble, folds, percentiles, resampling, streaks, trades, trading_days
+from barloom.sources import bars as bar_source
+
+from .conftest import SMALL
 from barloom.sources.store import BarStore, RecordLog
 
 DAY = date(2024, 1, 1)
@@ -296,3 +299,42 @@ def test_newest_records_open_few_folders(spark, tmp_path):
     assert [r["i"] for r in newest.collect()] == [99, 98, 97, 96, 95, 94, 93]
     assert len({f.rsplit("/", 2)[1] for f in newest.inputFiles()}) <= 4 < len(log.days())
     assert log.latest("at", 1000, "i").count() == 101
+
+
+def test_streaks_run_over_the_ends_of_pieces(spark):
+    draw = np.random.default_rng(8)
+    flags = {"a": draw.random(400) < 0.7, "b": np.ones(150, bool), "c": np.zeros(40, bool), None: draw.random(9) < 0.5}
+    flags["a"][100:260] = True  # longer than a piece
+    rows = [(n, i, bool(x) if x or i % 3 else None) for n, f in flags.items() for i, x in enumerate(f)]
+    want = {}
+    for n, f in flags.items():
+        runs = [len(r) for r in "".join("x" if x else " " for x in f).split()]
+        if runs:
+            want[n] = (max(runs), sum(runs) / len(runs))
+    df = spark.createDataFrame(rows, "name string, at long, flag boolean")
+    for into in (1, 7, 60):
+        got = {r["name"]: (r["worst"], r["mean"]) for r in streaks.streaks(df.repartition(3), "name", "flag", ["at"], into).collect()}
+        assert got == {n: (w, pytest.approx(m)) for n, (w, m) in want.items()}
+    plan = streaks.streaks(df, "name", "flag", ["at"], 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_flag" not in line for line in plan.split("\n") if "Window" in line)  # rows themselves are in no window
+
+
+def test_percentiles_equal_numpy_and_gather_no_values(spark):
+    draw = np.random.default_rng(9)
+    for values in (draw.normal(size=30_000), draw.integers(0, 3, 5_000).astype(float), np.array([4.0]), np.array([2.0, 1.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+        got = percentiles.percentiles(df, "v", {"low": 0.01, "mid": 0.5, "top": 1.0, "high": 0.99}).first()
+        assert tuple(got) == pytest.approx(tuple(np.quantile(values, [0.01, 0.5, 1.0, 0.99])), abs=1e-12)
+    assert tuple(percentiles.percentiles(df.where("false"), "v", {"low": 0.01}).first()) == (None,)
+    plan = percentiles.percentiles(df, "v", {"low": 0.01})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "percentile_approx" in plan
+
+
+def test_partitions_of_bars_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(bar_source, "PART_BYTES", 10_000)
+    n = bar_source.parts(spark, SMALL)
+    assert n > 8
+    for df in (bar_source.bars(spark, SMALL), divergence.wd3_pivot_pairs(spark, SMALL), ensemble.e01_consensus(spark, SMALL)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.split("\n") if "hashpartitioning" in line]
+        assert exchanges and all(f", {n})" in line for line in exchanges), "\n".join(exchanges)
