@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.sources.bars import BARS_SQL, bars
+from barloom.sources.bars import BARS_SQL, bars, parts
 from barloom.sources.tables import INSTRUMENTS
 
 #: Base weight of a source and its factor in a regime (others: 1).
@@ -88,6 +88,8 @@ def bar_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("ts")
     rows = bars(spark, sf_dir).join(INSTRUMENTS.frame(spark, sf_dir).select("symbol", "size"), "symbol")
     rows = rows.withColumns({"before": F.lag("close").over(w), "k": F.row_number().over(w), "mean": F.avg("close").over(w.rowsBetween(-19, 0)), "top": F.max("high").over(w.rowsBetween(-20, -1)), "days": F.datediff("ts", F.lag("ts").over(w)), "ago": F.lag("close", 10).over(w)}).where("k > 20")
+    # By day from here on: the breadth, the votes of a bar and its place need no other shuffle.
+    rows = rows.repartition(parts(spark, sf_dir), "ts")
     up = F.avg((F.col("close") > F.col("before")).cast("double")).over(Window.partitionBy("ts"))
     rows = rows.withColumn("up", F.round(up, 6)).withColumn("regime", F.when(F.col("up") >= 0.6, "TRENDING").when(F.col("up") <= 0.3, "STRESSED").otherwise("RANGE"))
     side = lambda a, b: F.when(a > b, "LONG").when(a < b, "SHORT").otherwise("NEUTRAL")
