@@ -86,8 +86,8 @@ def ranked(found: DataFrame) -> DataFrame:
 def bar_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes on every symbol and day of the bars; a symbol whose bar before is more than 25 days old is stale."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    rows = bars(spark, sf_dir).join(INSTRUMENTS.frame(spark, sf_dir).select("symbol", "size"), "symbol")
-    rows = rows.withColumns({"before": F.lag("close").over(w), "k": F.row_number().over(w), "mean": F.avg("close").over(w.rowsBetween(-19, 0)), "top": F.max("high").over(w.rowsBetween(-20, -1)), "days": F.datediff("ts", F.lag("ts").over(w)), "ago": F.lag("close", 10).over(w)}).where("k > 20")
+    rows = bars(spark, sf_dir).withColumns({"before": F.lag("close").over(w), "k": F.row_number().over(w), "mean": F.avg("close").over(w.rowsBetween(-19, 0)), "top": F.max("high").over(w.rowsBetween(-20, -1)), "days": F.datediff("ts", F.lag("ts").over(w)), "ago": F.lag("close", 10).over(w)}).where("k > 20")
+    rows = rows.join(INSTRUMENTS.frame(spark, sf_dir).select("symbol", "size"), "symbol")
     # By day from here on: the breadth, the votes of a bar and its place need no other shuffle.
     rows = rows.repartition(parts(spark, sf_dir), "ts")
     up = F.avg((F.col("close") > F.col("before")).cast("double")).over(Window.partitionBy("ts"))
