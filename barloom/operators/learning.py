@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators.clusters import written
 from barloom.plans.layers import Plan, clip, lag, lead, roll
 from barloom.sources.bars import BARS, read
 from barloom.sources.files import checksum
@@ -29,7 +30,7 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.frame(spark, sf_dir).where("label is not null").select("symbol", "ts", *FEATURES, "label", "part")
 
 
-def fitted(train: DataFrame):
+def fitted(train: DataFrame) -> PipelineModel:
     """Imputer, scaler and logistic regression, all fitted on the training rows alone."""
     filled = [f"{c}_filled" for c in FEATURES]
     return Pipeline(stages=[
@@ -42,10 +43,15 @@ def m01_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_table(spark, sf_dir).groupBy("part", F.col("label").cast("double").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("distance").isNull()).alias("missing"))
 
 
+def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PipelineModel]:
+    """The training table, written once for all the passes over it, and the model of its training part."""
+    rows = written(training_table(spark, sf_dir), "training")
+    return rows, fitted(rows.where("part = 'train'"))
+
+
 def m06_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the past, score the rest: symbol, ts, label, score."""
-    rows = training_table(spark, sf_dir)
-    model = fitted(rows.where("part = 'train'"))
+    rows, model = trained(spark, sf_dir)
     return model.transform(rows.where("part = 'test'")).select("symbol", "ts", "label", F.round(vector_to_array("probability")[1], 6).alias("score"))
 
 
@@ -71,22 +77,19 @@ def inferred(model, df: DataFrame, features: list[str], keys: tuple[str, ...], *
 
 def m08_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows behind the cut scored from a table with text instead of numbers, another order and a column too many."""
-    rows = training_table(spark, sf_dir)
-    model = fitted(rows.where("part = 'train'"))
+    rows, model = trained(spark, sf_dir)
     foreign = rows.where("part = 'test'").select("symbol", "ts", "part", *(F.col(c).cast("string").alias(c) for c in reversed(FEATURES)))
     return inferred(model, foreign, FEATURES, ("symbol", "ts"))
 
 
 def m09_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of accuracy when a feature's values are moved to the row that follows in hash order, within a symbol."""
-    rows = training_table(spark, sf_dir)
-    model, test = fitted(rows.where("part = 'train'")), rows.where("part = 'test'")
-    right = lambda df, name: model.transform(df).agg(F.lit(name).alias("feature"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
-    out = right(test, "none")
-    for c in FEATURES:
-        w = W.partitionBy("symbol").orderBy(F.xxhash64(F.lit(c), "ts"))
-        out = out.unionByName(right(test.withColumn(c, F.lead(c).over(w)), c))
-    return out.select("feature", F.round("accuracy", 6).alias("accuracy"))
+    rows, model = trained(spark, sf_dir)
+    moved = lambda c: F.lead(c).over(W.partitionBy("symbol").orderBy(F.xxhash64(F.lit(c), "ts"))).alias(f"moved_{c}")
+    test = rows.where("part = 'test'").select("label", *FEATURES, *map(moved, FEATURES))  # one shuffle for all
+    variant = lambda name: F.struct(F.lit(name).alias("feature"), *(F.col(f"moved_{c}" if c == name else c).alias(c) for c in FEATURES))
+    variants = test.select("label", F.inline(F.array(*map(variant, ["none", *FEATURES]))))
+    return model.transform(variants).groupBy("feature").agg(F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
 def b25_bootstrap(spark: SparkSession, sf_dir: str, simulations: int = 50, steps: int = 60, block: int = 5) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from barloom.operators import hybrid, learning
 from barloom.sources.bars import BARS
 
@@ -55,3 +57,14 @@ def test_hybrid_search_cuts_neither_list(spark, tmp_path):
         b = {i: c for i, w in docs.items() if (c := sum(x * y for x, y in zip(q, vector(w), strict=True))) > 0.1}
         want = sorted((0.6 * a[i] / max(a.values()) + 0.4 * b.get(i, 0.0) / max(b.values()) for i in docs), reverse=True)[:10]
         assert [got[item][k] for k in range(1, 11)] == [round(x, 6) for x in want] or max(abs(got[item][k + 1] - x) for k, x in enumerate(want)) < 2e-6
+
+
+@pytest.mark.parametrize("name", ["m06_scored", "m08_batch_inference", "m09_permutation"])
+def test_training_table_is_made_once(spark, monkeypatch, name):
+    """Model and scores read what was written, not the trades anew."""
+    trained, fitted = [], learning.fitted
+    monkeypatch.setattr(learning, "fitted", lambda train: trained.append(train) or fitted(train))
+    result = learning.QUERIES[name](spark, SMALL)
+    for df in (*trained, result):
+        assert df.inputFiles() and not any("lineitem" in f for f in df.inputFiles())
+    assert result.count() > 0 and len(trained) == 1
