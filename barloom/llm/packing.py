@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, small_batches
-from barloom.llm.tokens import piece_ids
+from barloom.llm.tokens import TABLE_BYTES, piece_ids
 
 CAPACITY = 1024
 GROUP_PIECES = 16_384  #: pieces that one task packs together, about
@@ -69,11 +69,11 @@ def _pack(groups: int, first: int):
     return run
 
 
-def _pieces(path: str, end_id: int):
+def _pieces(path: str, end_id: int, most: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        table = piece_ids(path, keep_spaces=True)
+        table = piece_ids(path, keep_spaces=True, most=most)
         for batch in batches:
             ids, texts, rows = (batch.column(c) for c in ("doc_id", "text", "row"))
             which, piece, start, length, crc = [], [], [], [], []
@@ -97,13 +97,14 @@ def _pieces(path: str, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row for each piece.
 
     A document is the ids of its text (null: none) and end_id. Only documents above CAPACITY are cut, into pieces of
     CAPACITY ids of which the first may be shorter. Pieces are dealt to groups of about GROUP_PIECES by a hash, each
     group is packed by sum_of_squares, and the sequences with more than LOOSE_PERCENT of room are packed once more in
-    new groups. The counts of groups follow the number of pieces alone.
+    new groups. The counts of groups follow the number of pieces alone. table_bytes: memory of the words that a worker
+    need not encode again; the result does not depend on it.
 
     Repeated rows are packed each for itself; ties are ordered by doc_id, piece and content; an empty table gives an
     empty result; a null doc_id is packed like any other; extra columns are not read.
@@ -112,7 +113,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     kinds = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(rows.mapInArrow(_pieces(tokenizer_path, end_id), kinds), "pieces")
+    pieces = cut(rows.mapInArrow(_pieces(tokenizer_path, end_id, table_bytes), kinds), "pieces")
     packed = cut(_packed(pieces, 0), "packed")
     again = packed.where("loose").drop("sequence_id", "offset", "loose", "part")
     done = packed.where("not loose").unionByName(_packed(again, 1))

@@ -27,12 +27,13 @@ _SPACELESS = re.compile(rf"[{_LETTERS}]++(?=[\s{_MARKS}]|\Z)|[{_MARKS}]++(?=\s|\
 class PieceIds(dict):
     """Piece -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, keep_spaces: bool):
+    def __init__(self, path: str, keep_spaces: bool, most: int = TABLE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
+        self.most = most
         self.library, self.pieces, self.held, self.lower = Tokenizer.from_file(path), (_SPACED if keep_spaces else _SPACELESS).findall, 0, not keep_spaces
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -53,18 +54,19 @@ class PieceIds(dict):
         """The ids of each text; null has none."""
         for text in texts:
             text = text or ""
-            if self.held > TABLE_BYTES:
+            if self.held > self.most:
                 self.clear()
                 self.held = 0
             whole = _CLASSED_APART.search(text) or any(t in text for t in self.added)
             yield b"".join(map(self.__getitem__, [text] if whole else self.pieces(text))) if text else b""
 
 
-_loaded: dict[tuple[str, bool], PieceIds] = {}
+_loaded: dict[tuple[str, bool, int], PieceIds] = {}
 
 
-def piece_ids(path: str, keep_spaces: bool) -> PieceIds:
-    """The worker's table for a vocabulary file; keep_spaces: whether its tokens hold the space before a word."""
-    if (path, keep_spaces) not in _loaded:
-        _loaded[path, keep_spaces] = PieceIds(path, keep_spaces)
-    return _loaded[path, keep_spaces]
+def piece_ids(path: str, keep_spaces: bool, most: int = TABLE_BYTES) -> PieceIds:
+    """The worker's table for a vocabulary file; keep_spaces: whether its tokens hold the space before a word; most: bytes
+    that it remembers."""
+    if (path, keep_spaces, most) not in _loaded:
+        _loaded[path, keep_spaces, most] = PieceIds(path, keep_spaces, most)
+    return _loaded[path, keep_spaces, most]

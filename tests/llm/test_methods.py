@@ -370,6 +370,16 @@ def test_token_files_round_trip(spark, tmp_path):
         assert not ids.flags.owndata
 
 
+def test_table_of_pieces_changes_no_ids():
+    """A worker that remembers more encodes less, and gives the same ids."""
+    path, texts, made = public_tokenizers.path("byte_bpe_50k.json"), [f"one two w{chr(97 + i % 9)}x three" for i in range(30)], []
+    for most in (500, 1_000_000):
+        table = piece_ids(path, True, most=most)
+        made.append(list(table.encode(texts)))
+        assert (len(table) > 10) == (most > 500)
+    assert made[0] == made[1]
+
+
 def test_packing_holds_every_piece_once(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
