@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def ewm_step(alpha: float, least: int) -> Callable[[float | None], float | None]:
@@ -70,9 +72,10 @@ def scan(df: DataFrame, inputs: list[str], outputs: list[str], new_step: Callabl
             columns = list(zip(*found, strict=True)) or [()] * len(outputs)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in columns)], [*batch.schema.names, *outputs])
 
-    kinds = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in outputs)])
-    ordered = df if sorted_already else df.repartition("symbol").sortWithinPartitions("symbol", "ts")
-    return ordered.mapInArrow(run, kinds)
+    # A window orders rows within their symbol and shuffles only those that do not lie by symbol yet.
+    ordered = df if sorted_already else df.withColumn("_place", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
+    kinds = T.StructType([*ordered.schema.fields, *(T.StructField(c, T.DoubleType()) for c in outputs)])
+    return ordered.mapInArrow(run, kinds).drop("_place")
 
 
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], sorted_already: bool = False) -> DataFrame:
