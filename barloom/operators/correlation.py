@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.operators.clusters import THRESHOLD, WEIGHTS, kept, linked_clusters
+from barloom.operators.clusters import THRESHOLD, WEIGHTS, kept, linked_clusters, linked_groups, written
 from barloom.sources.tables import POSITIONS, RETURNS
 
 BLOCK, DAYS, PARTS = 1024, 256, 64  #: series of a block, about; days of a tile; partitions of tiles at most
@@ -152,12 +152,18 @@ def _written(rows: DataFrame) -> DataFrame:
     return kept(rows.where("symbol is not null and r is not null").select(F.col("symbol").cast("long").alias("symbol"), day.alias("day"), F.col("r").cast("double").alias("r")))
 
 
-def _multiplied(rows: DataFrame, least: int, threshold: float | None, block: int, schema: str, weights: DataFrame | None = None) -> DataFrame:
-    """rows of `_written` -> rows of the schema from every two blocks. Values are standardised by their own series, so that sums of squares keep
-    their digits. Null values are days without a value."""
-    series = kept(rows.groupBy("symbol").agg(F.avg("r").alias("r"), F.stddev_pop("r").alias("deviation")).where("deviation > 0"))
+def _series(rows: DataFrame, least: int) -> DataFrame:
+    """symbol, mean as r and deviation of the series that move and have days enough for a pair."""
+    of = rows.groupBy("symbol").agg(F.avg("r").alias("r"), F.stddev_pop("r").alias("deviation"), F.count("r").alias("n"))
+    return kept(of.where((F.col("deviation") > 0) & (F.col("n") >= least)).drop("n"))
+
+
+def _tiles(rows: DataFrame, series: DataFrame, block: int, weights: DataFrame | None = None, aside: bool = False) -> tuple[DataFrame, int]:
+    """Tiles of the series, written once, and how many blocks they are. Values are standardised by their own series, so that sums of squares keep
+    their digits. Blocks that stand aside are numbered below 0."""
     blocks = max(1, -(-series.count() // block))
-    place = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block")
+    place = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    place = (-1 - place if aside else place).alias("block")
     if weights is None:
         weights = series.select("symbol").limit(0).withColumn("weight", F.lit(0.0))
     nothing = F.lit(float("nan"))
@@ -165,13 +171,20 @@ def _multiplied(rows: DataFrame, least: int, threshold: float | None, block: int
     cells = rows.select(place, F.floor(F.col("day") / DAYS).cast("int").alias("run"), "symbol", "day", "r", nothing.alias("deviation"), nothing.alias("weight"))
     # Runs before 1970 are negative, too; those of the heads stand first.
     cells = cells.withColumn("run", F.when(F.col("run") < 0, F.col("run") - 1).otherwise(F.col("run")))
-    parts = min(blocks, PARTS)
-    dealt = heads.unionByName(cells).repartition(parts, "block").sortWithinPartitions("block", F.col("run") != -1, "run", "symbol")
-    tiles = kept(dealt.mapInArrow(_packed, TILE))
-    other = tiles.select(*(F.col(c).alias(f"{c}2") for c in tiles.columns))
-    # Each two partitions of written tiles are one task; nothing is shuffled.
-    met = tiles.hint("SHUFFLE_REPLICATE_NL").join(other, (F.col("block") <= F.col("block2")) & (F.col("run") == F.col("run2"))).drop("run", "run2")
-    return met.mapInArrow(_pairs(least, threshold, schema), schema)
+    dealt = heads.unionByName(cells).repartition(min(blocks, PARTS), "block").sortWithinPartitions("block", F.col("run") != -1, "run", "symbol")
+    return kept(dealt.mapInArrow(_packed, TILE)), blocks
+
+
+def _met(tiles: DataFrame, others: DataFrame) -> DataFrame:
+    """Each two partitions of written tiles are one task; nothing is shuffled."""
+    others = others.select(*(F.col(c).alias(f"{c}2") for c in others.columns))
+    return tiles.hint("SHUFFLE_REPLICATE_NL").join(others, (F.col("block") <= F.col("block2")) & (F.col("run") == F.col("run2"))).drop("run", "run2")
+
+
+def _multiplied(rows: DataFrame, least: int, threshold: float | None, block: int, schema: str, weights: DataFrame | None = None) -> DataFrame:
+    """rows of `_written` -> rows of the schema from every two blocks. Null values are days without a value."""
+    tiles, _ = _tiles(rows, _series(rows, least), block, weights)
+    return _met(tiles, tiles).mapInArrow(_pairs(least, threshold, schema), schema)
 
 
 def pair_correlations(rows: DataFrame, least: int = 30, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
@@ -182,9 +195,43 @@ def pair_correlations(rows: DataFrame, least: int = 30, threshold: float | None
 
 
 def linked_symbols(rows: DataFrame, least: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """links(a, b) that join the same symbols to groups as all pairs of at least `threshold` do: of two blocks a spanning
-    set, so as many links as symbols and not as pairs."""
-    return _multiplied(_written(rows), least, threshold, block, LINK)
+    """links(a, b) that join the same symbols to groups as all pairs of at least `threshold` do, so as many links as symbols
+    and not as pairs.
+
+    Pairs inside a group cannot change it. So each block meets itself and the first one, and after that only the symbols
+    outside the largest group meet further blocks, more in each round, until they have met all. They are what the work grows
+    with; where they do not fall below half, all blocks meet."""
+    rows = _written(rows)
+    series, linked = _series(rows, least), _pairs(least, threshold, LINK)
+    tiles, blocks = _tiles(rows, series, block)
+    if blocks <= 2:
+        return _met(tiles, tiles).mapInArrow(linked, LINK)
+    within = tiles.select(*(c for c in tiles.columns if c != "run"), *(F.col(c).alias(f"{c}2") for c in tiles.columns if c != "run"))
+    first = kept(tiles.where("block = 0").coalesce(1))
+    links = within.mapInArrow(linked, LINK).union(_met(first, tiles.where("block > 0")).mapInArrow(linked, LINK))
+    symbols, root, met, outside = series.count(), None, 1, series.select("symbol")
+    while True:
+        groups = linked_groups(links)
+        links = groups.select(F.col("least").alias("a"), F.col("node").alias("b"))
+        if met == blocks:
+            return links
+        if root is None:
+            largest = groups.groupBy("least").count().orderBy(F.desc("count"), "least").first()
+            root = largest["least"] if largest else -1
+        else:  # the group of the first round may have got a smaller symbol
+            root = groups.where(F.col("node") == root).agg(F.coalesce(F.max("least"), F.lit(root)).alias("root")).first()["root"]
+        inside = groups.where(F.col("least") == root).select(F.col("node").alias("symbol"))
+        outside = kept(outside.join(inside, "symbol", "left_anti"))
+        left = outside.count()
+        if not left:
+            return links
+        if met > 1 and 2 * left > symbols:
+            return _met(tiles, tiles).mapInArrow(linked, LINK)
+        rows = written(rows.join(outside, "symbol"), "outside")
+        until = min(blocks, 4 * met + 1)
+        asked, _ = _tiles(rows, series.join(outside, "symbol"), block, aside=True)
+        links = links.union(_met(asked, tiles.where(F.col("block").between(met, until - 1))).mapInArrow(linked, LINK))
+        met = until
 
 
 def weighted_correlations(rows: DataFrame, weights: DataFrame, least: int = 30, block: int = BLOCK) -> DataFrame:

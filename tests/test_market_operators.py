@@ -161,6 +161,32 @@ def test_tiles_of_correlations_are_written_once_and_pairs_summed_in_the_task(spa
     assert got[-1] == pytest.approx((max(c for _, c in whole), sum(w * c for w, c in whole) / sum(w for w, _ in whole)))
 
 
+def test_only_symbols_outside_the_largest_group_meet_all_blocks(spark, monkeypatch):
+    """One large group, a pair and three symbols by themselves, over eleven blocks and several rounds."""
+    draw = np.random.default_rng(5)
+    base, other = draw.normal(size=90) * 5, draw.normal(size=90) * 5
+    values = {s: (base if s < 40 else other if s < 42 else 0) + draw.normal(size=90) for s in range(45)}
+    df = spark.createDataFrame([(s, DAY + timedelta(days=i), float(x)) for s, v in values.items() for i, x in enumerate(v)], "symbol long, ts date, r double")
+    asked, tiles = [], correlation._tiles
+    monkeypatch.setattr(correlation, "_tiles", lambda rows, series, *rest, **named: (named.get("aside") and asked.append(series.count())) or tiles(rows, series, *rest, **named))
+    links = [(r["a"], r["b"]) for r in correlation.linked_symbols(df, 30, 0.8, block=4).collect()]
+    assert {frozenset(g) for g in _joined(links)} == {frozenset(range(40)), frozenset({40, 41})}
+    assert asked and max(asked) <= 5
+    strong = {(r["a"], r["b"]) for r in correlation.pair_correlations(df, 30, 0.8, block=4).collect()}
+    assert {frozenset(g) for g in _joined(links)} == {frozenset(g) for g in _joined(strong)}
+    asked.clear()
+    assert correlation.linked_symbols(df, 30, 0.999999, block=4).collect() == [] and len(asked) == 1  # no group: all blocks meet in the end
+
+
+def _joined(edges):
+    of = {}
+    for a, b in edges:
+        both = of.get(a, {a}) | of.get(b, {b})
+        for s in both:
+            of[s] = both
+    return of.values()
+
+
 def test_correlations_are_not_joined_by_day(spark):
     df = spark.createDataFrame([(1, DAY, 1.0), (1, DAY + timedelta(days=1), 2.0), (2, DAY, 3.0)], "symbol long, ts date, r double")
     plan = correlation.pair_correlations(df)._jdf.queryExecution().optimizedPlan().toString()
