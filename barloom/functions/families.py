@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.functions.indicators import INDICATORS, _window, indicator, request
+from barloom.functions.indicators import INDICATORS, _window, indicator, request_in_one_pass
 from barloom.operators.indicators import LOG_RETURN, MONEY_MULTIPLIER, RETURN, TR, TYPICAL, YEAR
 from barloom.operators.smoothed import span
 from barloom.plans.layers import clip, flag, lag, over_zero, roll, running, sign
@@ -394,9 +394,7 @@ FAMILY_WINDOWS = {
 
 
 def f20_family_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = request(BARS.frame(spark, sf_dir), FAMILY_WINDOWS)
-    doubles = [c for c, t in found.dtypes if t == "double"]
-    return found.selectExpr(*(f"round({c}, 6) AS {c}" if c in doubles else c for c in found.columns))
+    return request_in_one_pass(BARS.frame(spark, sf_dir), FAMILY_WINDOWS, 6)
 
 
 QUERIES = {"f20_family_windows": f20_family_windows}

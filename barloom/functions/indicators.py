@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators.indicators import TR
 from barloom.operators.smoothed import span
+from barloom.plans.arrays import over_symbols, supported
 from barloom.plans.layers import Plan, Source, lag, over_zero, roll
 from barloom.sources.bars import BARS, BARS_SQL
 
@@ -141,6 +142,16 @@ def request(bars: DataFrame, wanted: dict[str, tuple[str, dict]]) -> DataFrame:
     return request_plan(Source(lambda spark, sf_dir: bars, ""), wanted).frame(bars.sparkSession, "")
 
 
+def request_in_one_pass(bars: DataFrame, wanted: dict[str, tuple[str, dict]], digits: int) -> DataFrame:
+    """The same, doubles rounded to `digits`: by one pass over arrays instead of a window operator for each layer, where all
+    layers can be worked out so."""
+    plan, found = request_plan(Source(lambda spark, sf_dir: bars, ""), wanted), request(bars, wanted)
+    kinds = dict(found.dtypes)
+    if supported(plan.layers) and set(kinds.values()) <= {"double", "int", "bigint", "string", kinds["symbol"], kinds["ts"]}:
+        return over_symbols(bars, plan.layers, plan.out, kinds, digits)
+    return found.selectExpr(*(f"round({c}, {digits}) AS {c}" if k == "double" else c for c, k in kinds.items()))
+
+
 WINDOWS = {
     "fast": ("sma", {"window": 10}), "slow": ("sma", {"window": 50}), "wide": ("bands", {"window": 30, "width": 1.5}), "roc_5": ("roc", {"window": 5}), "z": ("zscore", {"window": 30}),
     "turn": ("channel", {"window": 40}), "gap": ("ma_distance", {"window": 50}), "vol": ("volatility", {"window": 60}), "k": ("stochastic", {"window": 21, "smooth": 5}),

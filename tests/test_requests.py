@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 
 from barloom.functions import indicators as ind
+from barloom.functions.families import FAMILY_WINDOWS
+from barloom.functions.indicators import request, request_in_one_pass, request_plan
+from barloom.plans import arrays
+from barloom.plans.layers import Source
 from barloom.sources.bars import BARS
 
 from .conftest import SMALL
@@ -68,3 +74,37 @@ def test_own_indicator_and_refusals(spark):
 def test_bundles_name_indicators(spark):
     for bundle in ind.BUNDLES.values():
         assert ind.request(ramp(spark, 30), bundle).count() == 60
+
+
+def test_one_pass_over_arrays_equals_the_windows(spark):
+    """Short and long symbols, nulls, ties, flat bars, pieces of few rows."""
+    draw = random.Random(7)
+    rows = []
+    for symbol, n in ((1, 1), (2, 3), (3, 70), (None, 12), (4, 41)):
+        for i in range(n):
+            low, high = sorted(round(draw.uniform(1, 9), 1) for _ in range(2))
+            close = None if draw.random() < 0.05 else draw.choice([low, high, (low + high) / 2])
+            rows.append((symbol, i, draw.choice([low, high]), high, high if draw.random() < 0.1 else low, close, float(draw.randrange(0, 4))))
+    bars = spark.createDataFrame(rows, "symbol long, ts int, open double, high double, low double, close double, volume double").repartition(3)
+    plan = request_plan(Source(lambda *_: bars, ""), FAMILY_WINDOWS)
+    found = request(bars, FAMILY_WINDOWS)
+    want = found.selectExpr(*(f"round({c}, 6) AS {c}" if k == "double" else c for c, k in found.dtypes))
+    key = lambda r: (r["symbol"] is None, r["symbol"] or 0, r["ts"])
+    for rows_at_once in (5, 10_000):
+        got = arrays.over_symbols(bars, plan.layers, plan.out, dict(found.dtypes), 6, rows_at_once)
+        assert got.dtypes == want.dtypes and sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    one = request_in_one_pass(bars, FAMILY_WINDOWS, 6)
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and sum(x.strip(" :+-*()0123456789").startswith("Window ") for x in text.split("\n")) <= 1
+    assert sorted(one.collect(), key=key) == sorted(want.collect(), key=key) and request_in_one_pass(bars.where("false"), FAMILY_WINDOWS, 6).collect() == []
+    assert not arrays.supported(request_plan(Source(lambda *_: bars, ""), {"v": ("volatility", {})}).layers)  # a deviation stays with the engine
+    other = request_in_one_pass(bars, {"v": ("volatility", {"window": 5})}, 3)
+    assert "MapInArrow" not in other._jdf.queryExecution().executedPlan().toString() and other.count() == len(rows)
+
+
+def test_rounding_of_arrays_is_the_engines(spark):
+    draw = random.Random(8)
+    values = [draw.uniform(-1, 1) * 10 ** draw.randrange(-8, 14) for _ in range(2000)] + [k / 2 / 10**6 for k in range(-60, 60)] + [0.0, -0.0, 1e300, float("inf"), float("nan"), 1.0000005, 2.5e-7, 5e-7, 4503599627.3704965]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 6)").collect()]
+    got = arrays.half_up(np.array(values), 6)
+    assert [str(x + 0.0) for x in got.tolist()] == [str(x + 0.0) for x in want]
