@@ -175,10 +175,12 @@ def _tiles(rows: DataFrame, series: DataFrame, block: int, weights: DataFrame |
     return kept(dealt.mapInArrow(_packed, TILE)), blocks
 
 
-def _met(tiles: DataFrame, others: DataFrame) -> DataFrame:
-    """Each two partitions of written tiles are one task; nothing is shuffled."""
+def _met(tiles: DataFrame, others: DataFrame, once: bool = True) -> DataFrame:
+    """Each two partitions of written tiles are one task; nothing is shuffled. A task holds the sums of one block of `tiles` with all blocks of
+    a partition of `others`. once: both are the same tiles, and two blocks meet once."""
     others = others.select(*(F.col(c).alias(f"{c}2") for c in others.columns))
-    return tiles.hint("SHUFFLE_REPLICATE_NL").join(others, (F.col("block") <= F.col("block2")) & (F.col("run") == F.col("run2"))).drop("run", "run2")
+    met = (F.col("run") == F.col("run2")) & (F.col("block") <= F.col("block2")) if once else F.col("run") == F.col("run2")
+    return tiles.hint("SHUFFLE_REPLICATE_NL").join(others, met).drop("run", "run2")
 
 
 def _multiplied(rows: DataFrame, least: int, threshold: float | None, block: int, schema: str, weights: DataFrame | None = None) -> DataFrame:
@@ -208,7 +210,7 @@ def linked_symbols(rows: DataFrame, least: int, threshold: float, block: int = B
         return _met(tiles, tiles).mapInArrow(linked, LINK)
     within = tiles.select(*(c for c in tiles.columns if c != "run"), *(F.col(c).alias(f"{c}2") for c in tiles.columns if c != "run"))
     first = kept(tiles.where("block = 0").coalesce(1))
-    links = within.mapInArrow(linked, LINK).union(_met(first, tiles.where("block > 0")).mapInArrow(linked, LINK))
+    links = within.mapInArrow(linked, LINK).union(_met(tiles.where("block > 0"), first, False).mapInArrow(linked, LINK))
     symbols, root, met, outside = series.count(), None, 1, series.select("symbol")
     while True:
         groups = linked_groups(links)
@@ -230,7 +232,7 @@ def linked_symbols(rows: DataFrame, least: int, threshold: float, block: int = B
         rows = written(rows.join(outside, "symbol"), "outside")
         until = min(blocks, 4 * met + 1)
         asked, _ = _tiles(rows, series.join(outside, "symbol"), block, aside=True)
-        links = links.union(_met(asked, tiles.where(F.col("block").between(met, until - 1))).mapInArrow(linked, LINK))
+        links = links.union(_met(tiles.where(F.col("block").between(met, until - 1)), asked, False).mapInArrow(linked, LINK))
         met = until
 
 
